@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import line_dedup, mixing, simhash
+from pagemill.llm import line_dedup, mixing, packing, simhash
 from pagemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op8_line_dedup"] = line_dedup.SQL
 ORACLE_SQL["op9_pareto_mixing"] = mixing.SQL
+
+
+@query
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
