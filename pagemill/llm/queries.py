@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import line_dedup, mixing, packing, simhash
+from pagemill.llm import line_dedup, mixing, packing, simhash, warc
 from pagemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,12 @@ ORACLE_SQL["op9_pareto_mixing"] = mixing.SQL
 @query
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.round_trip(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op10_warc_segments"] = warc.SQL
