@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import line_dedup, mixing, packing, quality_rules, simhash, warc
+from pagemill.llm import line_dedup, mixing, packing, pii, quality_rules, simhash, warc
 from pagemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ ORACLE_SQL["op10_warc_segments"] = warc.SQL
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
