@@ -9,23 +9,33 @@ tokenizer whole.
 
 from __future__ import annotations
 
+from array import array
 from functools import cache
 
 import numpy as np
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Words that a worker's cache holds before it starts anew.
-CACHED = 400_000
+CACHED = 1_000_000
 
 
 class Words(dict):
     """Word -> its ids as little-endian 16-bit words."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
 
     def __missing__(self, word: str) -> bytes:
-        found = encode(self.tokenizer, word)
+        if word.isalpha():  # letters are never parted: straight to the model
+            found = array("H", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+        elif word[-1] in ".," and word[:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1]]
+        else:
+            found = encode(self.tokenizer, word)
         if len(self) >= CACHED:
             self.clear()
         if len(word) <= 64:
