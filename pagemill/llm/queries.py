@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import html_extract, line_dedup, mixing, packing, pii, quality_rules, simhash, warc
+from pagemill.llm import html_extract, knn, line_dedup, mixing, packing, pii, quality_rules, simhash, warc
 from pagemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
