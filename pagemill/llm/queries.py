@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import html_extract, knn, line_dedup, mixing, packing, pii, quality_rules, simhash, warc
+from pagemill.llm import html_extract, importance, knn, line_dedup, mixing, packing, pii, quality_rules, simhash, warc
 from pagemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op2_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
