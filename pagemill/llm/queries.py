@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pagemill.llm import html_extract, importance, knn, line_dedup, mixing, packing, pii, quality_rules, simhash, warc
 from pagemill.llm.common import table
 
@@ -75,3 +76,6 @@ def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

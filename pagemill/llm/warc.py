@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import _drop_at_exit, shared_dir, small_batches
+from pagemill.llm.common import remove_at_exit, shared_dir, small_batches
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_FROM = 1000
@@ -303,7 +303,7 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages.select(F.col("page_id").cast("long"), "url", "html"), path, segment)
-    _drop_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return read(spark, path)
 
 
