@@ -1,10 +1,436 @@
-"""Named queries over the driver tables, and the SQL that gives the same rows."""
+"""Named queries over the driver tables, and the SQL that gives the same rows.
+
+The tables hold no PDF, image or model reply. Stand-ins: a page is a row of
+``documents`` (a document of ordered pages one of ``conversations``); an
+analysis is built from a row's text and id; a model answers with the page's
+text in a fence; figure metrics come from numbers of ``lineitem``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.config import workers_for
+from pagemill.functions import scoring
+from pagemill.functions.text import strip_blanks, strip_fences, strip_page_label
+from pagemill.operators import backends, collect, figures, prompts, registry, routing
+from pagemill.sources.pdf import LARGEST_UPLOAD, is_pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def named(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return named
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c, "Yes").otherwise("No")
+
+
+def analysed(docs: DataFrame) -> DataFrame:
+    """documents as pages with the JSON reply of a stand-in analysis; every 11th lacks a field."""
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    said = {
+        "text_detected": yes_no((d % 13 != 0) & (strip_blanks(text) != "")),
+        "tables_detected": yes_no(F.contains(text, F.lit("|"))),
+        "images_detected": yes_no(d % 3 == 0),
+        "latex_equations_detected": F.when(d % 11 != 0, yes_no(F.contains(text, F.lit("$")))),
+        "extracted_text": text,
+        "confidence_score_text": ((d * 37) % 100 / 100.0).cast("string"),
+    }
+    reply = F.to_json(F.struct(*[c.alias(n) for n, c in said.items()]))
+    return docs.select("doc_id", F.lit(0).alias("page_number"), "text", reply.alias("reply"))
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.with_routes(analysed(read(spark, sf_dir, "documents")), "ollama", "url")
+
+
+ROUTED_SQL = """
+WITH a AS (
+  SELECT doc_id, coalesce(text, '') AS text, doc_id % 11 = 0 AS broken,
+    doc_id % 13 <> 0 AND regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') <> '' AS has_text,
+    contains(coalesce(text, ''), '|') AS has_tables, contains(coalesce(text, ''), '$') AS has_latex,
+    doc_id % 3 = 0 AS has_images, ((doc_id * 37) % 100) / 100.0::DOUBLE AS conf
+  FROM documents
+), r AS (
+  SELECT *, CASE WHEN broken THEN 'fallback' WHEN NOT has_text THEN 'blank'
+    WHEN conf > 0.6 AND NOT has_tables AND NOT has_latex AND NOT has_images THEN 'direct' ELSE 'tailored' END AS route
+  FROM a
+)
+"""
+
+
+@query(
+    ROUTED_SQL
+    + """SELECT doc_id, route, (CASE WHEN route IN ('blank', 'direct') THEN 1 ELSE 2 END)::INTEGER AS n_calls,
+  CASE route WHEN 'blank' THEN '' WHEN 'direct' THEN text ELSE '# Page 1' || chr(10) || chr(10) || text END AS markdown FROM r"""
+)
+def q01_route_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def describe(rows: DataFrame) -> DataFrame:
+        answer = F.concat(F.lit("```markdown\n# Page 1\n\n"), F.col("text"), F.lit("\n```"))
+        return rows.withColumn("answer", answer)
+
+    out = routing.converted(routed(spark, sf_dir), describe)
+    return out.select("doc_id", "route", routing.model_calls(F.col("route")).alias("n_calls"), "markdown")
+
+
+@query(
+    ROUTED_SQL
+    + """SELECT route, has_images AND route = 'tailored' AS with_figures, count(*) AS n_pages,
+  sum(CASE WHEN route IN ('blank', 'direct') THEN 1 ELSE 2 END)::BIGINT AS n_calls FROM r GROUP BY 1, 2"""
+)
+def q02_route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures_too = routing.wants_figures(F.col("analysis"), "url") & (F.col("route") == routing.TAILORED)
+    rows = routed(spark, sf_dir).select("route", figures_too.alias("with_figures"), routing.model_calls(F.col("route")).alias("n"))
+    return rows.groupBy("route", "with_figures").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_calls"))
+
+
+_FENCED = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '```markdown' || chr(10) || text || chr(10) || '```'
+  WHEN 2 THEN '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || '```markdown' || chr(10) || 'more' || chr(10) || '```'
+  WHEN 3 THEN '```python' || chr(10) || 'x' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'y' || chr(10) || '```'
+  WHEN 4 THEN '```markdown' || chr(10) || text ELSE 'before ```' || chr(10) || text || chr(10) || '``` after' END"""
+
+
+@query(
+    f"SELECT doc_id, regexp_replace({_FENCED}, '```(?:markdown)?\\n(.*?)\\n```', '\\1', 'gs') AS markdown FROM documents WHERE text IS NOT NULL"
+)
+def q03_fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.expr(_FENCED.replace("chr(10)", "'\\n'"))
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", strip_fences(reply).alias("markdown"))
+
+
+_FORMS = (
+    '{"text_detected":"Yes","tables_detected":"No","images_detected":"No","latex_equations_detected":"No","extracted_text":"a","confidence_score_text":0.75}',
+    '{"text_detected":"Yes","tables_detected":"No","images_detected":"No","extracted_text":"a","confidence_score_text":0.75}',
+    '{"text_detected":"Yes","tables_detected":"maybe","images_detected":"No","latex_equations_detected":"No","extracted_text":"a","confidence_score_text":0.75}',
+    '{"text_detected":"No","tables_detected":"No","images_detected":"Yes","latex_equations_detected":"No","extracted_text":"","confidence_score_text":"0.5"}',
+    "no json at all",
+    "",
+    '{"text_detected":"Yes","tables_detected":"No","images_detected":"No","latex_equations_detected":"No","extracted_text":"a","confidence_score_text":"high"}',
+    '{"text_detected":null,"tables_detected":"No","images_detected":"No","latex_equations_detected":"No","extracted_text":"a","confidence_score_text":1}',
+)
+_FORM_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {quoted(f)}" for i, f in enumerate(_FORMS)) + " END"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, {_FORM_SQL} AS reply FROM documents), j AS (
+  SELECT doc_id, CASE WHEN json_valid(reply) THEN reply ELSE '{{}}' END AS reply FROM f
+), v AS (SELECT doc_id, coalesce("""
+    + " AND ".join(f"(reply->>'{f}') IN ('Yes', 'No')" for f in routing.FLAGS)
+    + """ AND (reply->>'extracted_text') IS NOT NULL AND try_cast(reply->>'confidence_score_text' AS DOUBLE) IS NOT NULL, false) AS valid,
+  try_cast(reply->>'confidence_score_text' AS DOUBLE) AS c FROM j)
+SELECT doc_id, valid, CASE WHEN valid THEN c END AS confidence FROM v"""
+)
+def q04_validate_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_FORM_SQL.replace("\\", "\\\\")).alias("reply"))
+    docs = docs.withColumn("analysis", routing.parse_analysis(F.col("reply")))
+    docs = docs.withColumn("valid", routing.is_valid(F.col("analysis")))
+    sure = F.when(F.col("valid"), F.col("analysis")["confidence_score_text"].try_cast("double"))
+    return docs.select("doc_id", "valid", sure.alias("confidence"))
+
+
+_ESCAPED = "regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    ROUTED_SQL
+    + f"""SELECT doc_id, CASE WHEN route IN ('tailored', 'fallback') THEN concat_ws(chr(10), {quoted(prompts.OPENING)},
+  CASE WHEN route = 'tailored' AND conf > 0.6 THEN {quoted(prompts.COMPARE.rstrip())} || chr(10) || {_ESCAPED} ELSE {quoted(prompts.GENERIC)} END,
+  CASE WHEN route = 'fallback' OR has_tables THEN {quoted(prompts.TABLES)} END,
+  CASE WHEN route = 'tailored' AND has_latex THEN {quoted(prompts.LATEX)} END,
+  {quoted(prompts.RULES)}, 'Keep &lt;br&gt; &amp; all &#34;marks&#34;.') END AS prompt FROM r"""
+)
+def q05_prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = analysed(read(spark, sf_dir, "documents"))
+    return routing.with_routes(docs, "ollama", "url", custom_prompt='Keep <br> & all "marks".').select("doc_id", "prompt")
+
+
+@query(
+    """SELECT conv_id, turn, max(CASE WHEN (conv_id * 7 + turn) % 11 = 0 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) = 1 AS simple FROM conversations"""
+)
+def q06_sticky_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "conversations")
+    failed = (F.col("conv_id") * 7 + F.col("turn")) % 11 == 0
+    return pages.select("conv_id", "turn", routing.sticky_failures(failed, "conv_id", "turn").alias("simple"))
+
+
+@query(
+    """SELECT conv_id, count(*)::INTEGER AS n_pages, string_agg(CASE WHEN turn % 5 = 3 THEN '' ELSE coalesce(text, '') END, chr(10) || chr(10) ORDER BY turn) AS markdown
+  FROM conversations GROUP BY conv_id"""
+)
+def q07_page_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 5 != 3, F.col("text")))
+    out = collect.documents(pages, "conv_id", "turn", "text")
+    return out.select("conv_id", F.size("pages").alias("n_pages"), "markdown")
+
+
+@query(
+    """SELECT conv_id, turn, regexp_replace(replace(chr(10) || 'Page ' || (turn + 1) || ' ' || coalesce(text, '') || ' Page ' || (turn + 1) || '0 ' || chr(9),
+  'Page ' || (turn + 1), ''), '^\\s+|\\s+$', '', 'g') AS markdown FROM conversations"""
+)
+def q08_page_label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = (F.col("turn") + 1).cast("string")
+    text = F.coalesce("text", F.lit(""))
+    labelled = F.concat(F.lit("\nPage "), number, F.lit(" "), text, F.lit(" Page "), number, F.lit("0 \t"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", strip_page_label(labelled, F.col("turn")).alias("markdown"))
+
+
+@query(
+    """SELECT conv_id, turn // 4 AS batch_id, count(*) AS n_pages, min(turn) AS first_page, max(turn) AS last_page FROM conversations GROUP BY 1, 2"""
+)
+def q09_page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "conversations").withColumn("batch_id", collect.batch_of(F.col("turn"), 4))
+    return pages.groupBy("conv_id", "batch_id").agg(F.count("*").alias("n_pages"), F.min("turn").alias("first_page"), F.max("turn").alias("last_page"))
+
+
+#: The SQL engine's edit distance counts bytes, ours characters. For SQL alone, the letters beyond ASCII that
+#: the tables have are put as bytes that they haven't, one for one, which leaves every distance as it is.
+_LETTERS = "ßàáâäçèéêíñóöúüÀÁÂÄÇÈÉÊÍÑÓÖÚÜ"
+_BYTES = " || ".join(f"chr({i})" for i in (*range(1, 9), *range(14, 32), 127, 11, 12)[: len(_LETTERS)])
+
+
+def in_bytes(column: str) -> str:
+    return f"translate({column}, '{_LETTERS}', {_BYTES})"
+
+
+def similarity_sql(a: str, b: str) -> str:
+    longer = f"greatest(length({a}), length({b}))"
+    return f"CASE WHEN {longer} = 0 THEN 1.0 ELSE 1 - levenshtein({in_bytes(a)}, {in_bytes(b)})::DOUBLE / {longer} END"
+
+
+@query(
+    f"""SELECT d.doc_id, b.item_id, round({similarity_sql('b.text', 'd.text')}, 6) AS similarity
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"""
+)
+def q10_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
+    pairs = read(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(truth, "item_id")
+    return pairs.select("doc_id", "item_id", F.round(scoring.edit_similarity(F.col("truth"), F.col("text")), 6).alias("similarity"))
+
+
+def bleu_sql(pairs: str, keys: str) -> str:
+    """BLEU of a CTE ``pairs`` with the keys, truth and cand."""
+    token = "'\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]'"
+    grams = "SELECT {keys}, n, array_to_string({side}[i:i+n-1], chr(1)) AS g, count(*) AS k FROM (SELECT *, unnest(range(1, len({side}) - n + 2)) AS i FROM tok, range(1, 5) AS x(n)) GROUP BY ALL"
+    return f"""tok AS (SELECT {keys}, regexp_extract_all(lower(truth), {token}) AS t, regexp_extract_all(lower(cand), {token}) AS c FROM {pairs}
+), gt AS ({grams.format(keys=keys, side="t")}
+), gc AS ({grams.format(keys=keys, side="c")}
+), ord AS (SELECT {keys}, n, sum(least(gc.k, coalesce(gt.k, 0))) AS hit, sum(gc.k) AS tot FROM gc LEFT JOIN gt USING ({keys}, n, g) GROUP BY ALL
+), lg AS (SELECT {keys}, count(*) AS orders, sum(ln(hit::DOUBLE / tot)) AS logs FROM ord WHERE hit > 0 GROUP BY ALL
+), bl AS (SELECT {keys}, CASE WHEN coalesce(orders, 0) < 4 THEN 0.0 ELSE
+    (CASE WHEN len(c) > len(t) THEN 1.0 ELSE exp(1 - len(t)::DOUBLE / len(c)) END) * exp(logs / 4) END AS bleu FROM tok LEFT JOIN lg USING ({keys}))"""
+
+
+@query(
+    "WITH pairs AS (SELECT d.doc_id, b.item_id, b.text AS truth, d.text AS cand FROM documents d JOIN benchmark b ON contains(d.text, b.text)), "
+    + bleu_sql("pairs", "doc_id, item_id")
+    + " SELECT doc_id, item_id, round(bleu, 6) AS bleu FROM bl"
+)
+def q11_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
+    # the few ground-truth items are a table of fixed size; every document is held against each
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cand"))
+    pairs = docs.join(F.broadcast(truth), F.contains("cand", "truth"))
+    out = scoring.bleu(pairs, ["doc_id", "item_id"], "truth", "cand")
+    return out.select("doc_id", "item_id", F.round("bleu", 6).alias("bleu"))
+
+
+_RUNS = 3
+
+
+@query(
+    f"""WITH pairs AS (SELECT conv_id, turn, role, run, coalesce(text, '') AS truth,
+    CASE (turn + run) % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, (length(text) * (9 - run)) // 10) ELSE replace(text, 'th', 'd' || run) END AS cand
+  FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), range(1, {_RUNS + 1}) AS r(run)), """
+    + bleu_sql("pairs", "conv_id, turn, role, run")
+    + f""", s AS (SELECT role AS parser, run, avg((bleu + {similarity_sql("truth", "cand")}) / 2) AS accuracy
+  FROM bl JOIN pairs USING (conv_id, turn, role, run) GROUP BY ALL)
+SELECT parser, round(avg(accuracy), 6) AS avg_accuracy, count(*)::INTEGER AS num_runs, array_to_string(list(printf('%.2f', accuracy) ORDER BY run), ', ') AS scores FROM s GROUP BY parser"""
+)
+def q12_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of conversations as truth, a role as parser, and an edit that depends on page and run as its result."""
+    pages = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("truth"))
+    runs = pages.withColumn("run", F.explode(F.array(*[F.lit(i) for i in range(1, _RUNS + 1)])))
+    n = F.char_length("truth")
+    cut_off = F.substring(F.col("truth"), F.lit(1), F.floor(n * (9 - F.col("run")) / 10).cast("int"))
+    other = F.replace(F.col("truth"), F.lit("th"), F.concat(F.lit("d"), F.col("run").cast("string")))
+    kind = (F.col("turn") + F.col("run")) % 3
+    pairs = runs.withColumn("cand", F.when(kind == 0, F.col("truth")).when(kind == 1, cut_off).otherwise(other))
+    scored = scoring.accuracy(pairs, ["conv_id", "turn", "role", "run"], "truth", "cand")
+    per_run = scored.groupBy(F.col("role").alias("parser"), "run").agg(F.avg("accuracy").alias("accuracy"))
+    out = scoring.by_parser(per_run)
+    scores = F.array_join(F.transform("accuracy_scores", lambda x: F.printf(F.lit("%.2f"), x)), ", ")
+    return out.select("parser", F.round("avg_accuracy", 6).alias("avg_accuracy"), "num_runs", scores.alias("scores"))
+
+
+_STATIC = {f"src{i}": p for i, p in enumerate(("ollama", "openai", "openai", "gemini", "gemini", "gemini"))}
+_DYNAMIC = {f"src{i}": "ollama" for i in (4, 5, 6, 7, 12)}
+
+
+def _values(models: dict[str, str]) -> str:
+    return ", ".join(f"({quoted(m)}, {quoted(p)})" for m, p in models.items())
+
+
+@query(
+    f"""WITH s(model, sp) AS (VALUES {_values(_STATIC)}), d(model, dp) AS (VALUES {_values(_DYNAMIC)})
+SELECT doc_id, source AS model, coalesce(sp, dp) AS provider, CASE WHEN sp IS NOT NULL THEN 'static' WHEN dp IS NOT NULL THEN 'dynamic' END AS resolved_by
+FROM documents LEFT JOIN s ON s.model = source LEFT JOIN d ON d.model = source"""
+)
+def q13_registry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"))
+    return registry.resolve(asked, registry.as_table(spark, _STATIC), registry.as_table(spark, _DYNAMIC))
+
+
+@query(
+    """WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['completion', 'vision'] WHEN 1 THEN ['completion'] WHEN 2 THEN [] END AS capabilities,
+  CASE WHEN doc_id % 5 = 0 THEN ['llama', 'clip'] WHEN doc_id % 5 < 3 THEN ['llama'] END AS families FROM documents)
+SELECT doc_id, coalesce(list_contains(capabilities, 'vision'), false) OR coalesce(list_contains(families, 'clip'), false) AS vision FROM m"""
+)
+def q14_vision_capable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    capabilities = F.when(d % 4 == 0, strings("completion", "vision")).when(d % 4 == 1, strings("completion")).when(d % 4 == 2, strings())
+    families = F.when(d % 5 == 0, strings("llama", "clip")).when(d % 5 < 3, strings("llama"))
+    return read(spark, sf_dir, "documents").select("doc_id", registry.takes_images(capabilities, families).alias("vision"))
+
+
+_REGIONS = """SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page_number, l_linenumber AS region, (l_quantity * 22)::INTEGER AS w, ((l_partkey % 60) * 18)::INTEGER AS h,
+  1000::INTEGER AS page_w, 1000::INTEGER AS page_h, (l_suppkey % 40)::INTEGER AS y, (l_partkey % 50)::INTEGER AS x,
+  l_discount * 1000 AS std, (l_partkey * 7 % 260)::DOUBLE AS mean, (l_partkey * 13 % 700)::DOUBLE AS lapvar,
+  (l_quantity * 22) * ((l_partkey % 60) * 18) * (1 + l_suppkey % 9) / 10 AS area FROM lineitem"""
+_ACCEPTED = "w >= 100 AND h >= 100 AND w <= 950 AND h <= 950 AND std > 25 AND mean > 20 AND mean < 235 AND area / (w * h) > 0.4 AND lapvar < 500"
+
+
+def stand_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _REGIONS.replace("::INTEGER", "").replace("::DOUBLE", "").split(" FROM ")[0].removeprefix("SELECT ")
+    df = read(spark, sf_dir, "lineitem").selectExpr(*[x.strip() for x in whole.split(",\n")[0].split(", ")], *[x.strip() for line in whole.split(",\n")[1:] for x in line.split(", ")])
+    return df.withColumns({c: F.col(c).cast("int") for c in ("w", "h", "page_w", "page_h", "y", "x")} | {c: F.col(c).cast("double") for c in ("mean", "lapvar", "area")})
+
+
+@query(f"WITH g AS ({_REGIONS}) SELECT doc_id, page_number, region, w, h, area FROM g WHERE {_ACCEPTED}")
+def q15_figure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.accepted(stand_in_regions(spark, sf_dir)).select("doc_id", "page_number", "region", "w", "h", "area")
+
+
+_RANKED = f"""g AS ({_REGIONS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, y, x, region) AS idx FROM g WHERE {_ACCEPTED})"""
+
+
+def ranked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = figures.accepted(stand_in_regions(spark, sf_dir))
+    kept = kept.withColumn("x", F.struct("x", "region"))  # equal boxes are told apart by their number
+    return figures.numbered(kept, ["doc_id", "page_number"])
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, page_number, region, idx, 'image_' || (page_number + 1) || '_' || idx || '.png' AS name FROM k")
+def q16_figure_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = figures.figure_name(F.col("page_number"), F.col("idx"))
+    return ranked_regions(spark, sf_dir).select("doc_id", "page_number", "region", "idx", name.alias("name"))
+
+
+@query(
+    f"""WITH {_RANKED}, n AS (SELECT doc_id, 'image_' || (page_number + 1) || '_' || idx || '.png' AS name, page_number, idx FROM k),
+  f AS (SELECT doc_id, string_agg(chr(10) || chr(10) || '![' || name || '](' || name || ')', '' ORDER BY page_number, idx) AS links FROM n GROUP BY doc_id)
+SELECT d.doc_id, d.text || coalesce(links, '') AS markdown FROM documents d LEFT JOIN f USING (doc_id) WHERE d.text IS NOT NULL"""
+)
+def q17_figure_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = ranked_regions(spark, sf_dir).select(
+        "doc_id", "page_number", "idx", figures.as_struct(figures.figure_name(F.col("page_number"), F.col("idx")), F.lit(None).cast("binary"), "url").alias("figure")
+    )
+    of_doc = named.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("page_number", "idx", "figure"))), lambda x: x["figure"]).alias("figures")
+    )
+    docs = read(spark, sf_dir, "documents").where("text is not null").join(of_doc, "doc_id", "left")
+    return docs.select("doc_id", figures.append_figures(F.col("text"), F.col("figures")).alias("markdown"))
+
+
+_CASES = [(cards, apple, cores) for cards in range(7) for apple in (False, True) for cores in (1, 2, 3, 4, 8, 64)]
+
+
+@query(
+    """WITH c AS (SELECT cards, apple, cores FROM range(0, 7) AS a(cards), (VALUES (false), (true)) AS b(apple), (VALUES (1), (2), (3), (4), (8), (64)) AS d(cores)),
+  w AS (SELECT *, CASE WHEN cards > 0 THEN 'cuda' WHEN apple THEN 'mps' ELSE 'cpu' END AS device,
+    CASE WHEN cards > 0 THEN least(2 * cards, 8) WHEN apple THEN 4 ELSE greatest(2, cores // 2) END::BIGINT AS workers FROM c)
+SELECT cards::BIGINT AS cards, apple, cores::BIGINT AS cores, device, workers, dpi::BIGINT AS dpi, round(dpi / 72.0::DOUBLE * 2, 6) AS scale FROM w, range(72, 601, 24) AS p(dpi)"""
+)
+def q18_render_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(*case, *workers_for(*case)) for case in _CASES]
+    cases = spark.createDataFrame(rows, "cards long, apple boolean, cores long, device string, workers long")
+    dpis = cases.withColumn("dpi", F.explode(F.sequence(F.lit(72).cast("long"), F.lit(600).cast("long"), F.lit(24).cast("long"))))
+    return dpis.withColumn("scale", F.round(F.col("dpi") / 72 * 2, 6))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, '/in/' || coalesce(source, '') || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '.pdf.bak' END AS path,
+  n_chars * 2048 AS length FROM documents)
+SELECT doc_id, CASE WHEN NOT lower(path) LIKE '%.pdf' THEN 'unsupported' WHEN length > {LARGEST_UPLOAD} THEN 'too large' ELSE 'accepted' END AS verdict FROM p"""
+)
+def q19_source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    suffix = F.when(d % 4 == 0, ".pdf").when(d % 4 == 1, ".PDF").when(d % 4 == 2, ".txt").otherwise(".pdf.bak")
+    path = F.concat(F.lit("/in/"), F.coalesce("source", F.lit("")), F.lit("/"), d.cast("string"), suffix)
+    verdict = F.when(~is_pdf(path), "unsupported").when(F.col("n_chars") * 2048 > LARGEST_UPLOAD, "too large").otherwise("accepted")
+    return read(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
+
+
+@query(None)
+def q20_figure_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures found in drawn pages: one textured box whose place and size follow the page's number."""
+    drawn = spark.range(1, 25, numPartitions=4).selectExpr("id", "id * 7 % 50 as size")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for key, size in zip(batch["id"], batch["size"]):
+                page = np.full((420, 360, 3), 255, np.uint8)
+                h, w, y, x = 120 + int(size), 110 + 2 * int(size), 20 + int(key), 30 + int(key)
+                fade = np.linspace(40, 180, w)[None, :, None] + np.linspace(0, 30, h)[:, None, None]
+                page[y : y + h, x : x + w] = fade.astype(np.uint8)
+                found = figures.regions(page, with_png=False)
+                rows = [{"doc_id": key, "page_number": 0, **{k: v for k, v in r.items() if k != "png"}} for r in found]
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    schema = "doc_id long, page_number int, x int, y int, w int, h int, page_w int, page_h int, area double, mean double, std double, lapvar double"
+    return figures.numbered(figures.accepted(drawn.mapInPandas(run, schema)), ["doc_id", "page_number"])
+
+
+@query(None)
+def q21_retry_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a backend that times out: once for every third page, three times for every tenth."""
+
+    def fails(prompt: str, attempt: int) -> bool:
+        n = int(prompt.rpartition(" ")[2])
+        return attempt <= (3 if n % 10 == 0 else 1 if n % 3 == 0 else 0)
+
+    def reply(png: bytes | None, prompt: str, structured: bool) -> str:
+        return f"answer to {prompt}"
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("prompt"))
+    return backends.answers(rows, backends.Scripted(reply, fails=fails), "answer", "prompt", mode="PERMISSIVE", sleep=_no_wait)
+
+
+def _no_wait(seconds: float) -> None:
+    """The clock of a test: no wait."""
