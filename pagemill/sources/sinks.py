@@ -13,8 +13,12 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 
 def as_list(pages: DataFrame, page: str = "page_number", markdown: str = "markdown") -> list[str]:
-    """One document's pages in order, for a caller who wants them on the driver."""
-    return [r[0] or "" for r in pages.orderBy(page).select(markdown).collect()]
+    """One document's pages in order, for a caller who wants them on the driver.
+
+    They are ordered here: sorting in Spark would sample them first, and so make their model calls twice.
+    """
+    rows = pages.select(page, markdown).collect()
+    return [r[1] or "" for r in sorted(rows, key=lambda r: r[0])]
 
 
 def figure_files(figures: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
-sys.path.insert(0, os.path.join(ROOT, "tests", "llm"))
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+HERE = [os.path.join(ROOT, "tests", d) for d in ("llm", "engine")]
+sys.path[:0] = HERE
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *HERE]) + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
