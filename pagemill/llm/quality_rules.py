@@ -117,3 +117,41 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return judged(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+_QUOTED = BOILERPLATE.replace("'", "''")
+SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t
+), g AS (
+  SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), d AS (
+  SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1
+), r AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM g JOIN d USING (rid, g), range(0, 3) AS x(k) GROUP BY rid
+), l AS (
+  SELECT rid, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM t)
+), f AS (
+  SELECT *, b <> '' AND (
+    length(b) - length(translate(b, '|»•›·', '')) >= {MENU_FROM}
+    OR length(b) - length(translate(b, '{SYMBOLS}', '')) > {SYMBOL_SHARE}::DOUBLE * length(b)
+    OR (length(b) >= {SHOUT_FROM} AND NOT regexp_matches(b, '\p{{Ll}}') AND regexp_matches(b, '\p{{Lu}}'))
+    OR (regexp_matches(b, '^(\S+\s+){{{PROSE_FROM - 1}}}\S')
+      AND NOT regexp_matches(right(b, 4), '[.!?:;…。！？]["''”’»)\]]*$') AND NOT regexp_matches(b, '[.!?…。]["''”’»)\]]?\s'))
+    OR right(b, 1) IN ('{{', '}}') OR regexp_matches(b, '{_QUOTED}')) AS fails FROM l
+), s AS (
+  SELECT rid, count(*) AS n, count(*) FILTER (b <> '') - count(DISTINCT l) FILTER (b <> '') AS dup,
+    sum(length(l)) AS chars, coalesce(sum(length(l)) FILTER (NOT fails), 0) AS stay FROM f GROUP BY rid
+), c AS (
+  SELECT t.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, s.dup::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, CASE WHEN s.chars > 0 THEN 1 - s.stay::DOUBLE / s.chars ELSE 0 END AS lost
+  FROM t JOIN w USING (rid) JOIN s USING (rid) LEFT JOIN r USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND lost <= {MOST_LOST}::DOUBLE AS kept
+FROM c
+"""

@@ -79,3 +79,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+
+ORACLE_SQL["op5_quality_rules"] = quality_rules.SQL
+ORACLE_SQL["op6_voronoi_knn"] = knn.SQL
