@@ -7,7 +7,6 @@ from its options or the executor's environment and never appear in a plan.
 from __future__ import annotations
 
 import base64
-import json
 import os
 import time
 from collections.abc import Callable, Iterator
@@ -251,14 +250,3 @@ def backend_for(provider: str, options) -> Backend | None:
     if provider == "gemini":
         return Gemini(options.model_name, options.api_key, dict(options.gemini_config or {}), **common)
     return None
-
-
-def scripted_reply(texts: dict[str, str], default: str = "") -> Callable[[bytes | None, str, bool], str]:
-    """A reply function for tests: the first text whose key the prompt holds, analyses as JSON."""
-
-    def reply(png: bytes | None, prompt: str, structured: bool) -> str:
-        return next((v for k, v in texts.items() if k in prompt), json.dumps({}) if structured else default)
-
-    return reply
-
-
