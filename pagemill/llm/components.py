@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +96,3 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def signed(values: np.ndarray) -> np.ndarray:
-    """Unsigned 64-bit words as Spark's longs."""
-    return values.view(np.int64)
