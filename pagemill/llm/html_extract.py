@@ -59,7 +59,11 @@ BOILERPLATE = frozenset(
     "replies discussion pagination pager paging search searchform searchbox widget widgets tags tagcloud skip hidden "
     "copyright legal disclaimer paywall teaser outbrain taboola form".split()
 )
-#: Words that say the contrary: such an element is never left out for its class.
+#: Those that say so however much text there is.
+NEVER = frozenset(
+    "comment comments commentlist disqus respond reply replies discussion ad ads advert advertisement cookie cookies consent".split()
+)
+#: Words that say the contrary.
 ARTICLE = frozenset("article post content main body entry story text maincontent articlebody".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
@@ -97,8 +101,8 @@ def _names(node: Node) -> set[str]:
     return set(_WORD.findall(_CAMEL.sub("-", said).lower())) if said != " " else set()
 
 
-def _left_out(node: Node, in_article: bool) -> bool:
-    """Whether an element is never part of the article."""
+def _left_out(node: Node, in_article: bool, share: float) -> bool:
+    """Whether an element, with its share of the page's text, is never part of the article."""
     if node.tag in NOT_TEXT:
         return True
     if node.tag == "header":
@@ -110,8 +114,11 @@ def _left_out(node: Node, in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
-    names = _names(node)
-    return bool(names & BOILERPLATE) and not (node.tag in ("article", "main") or (names & ARTICLE and not names & {"comment", "comments", "ad", "ads", "sidebar", "related"}))
+    said = _names(node) & BOILERPLATE
+    if not said or node.tag in ("article", "main"):
+        return False
+    # a wrapper may be called after what it stands beside ("content has-sidebar"): one that holds most of the page stays
+    return bool(said & NEVER) or not (_names(node) & ARTICLE and share > 0.5)
 
 
 class _Tree:
@@ -208,15 +215,25 @@ def parse(page: str) -> Node:
 
 
 def _skip(root: Node) -> None:
-    stack = [(root, False)]
+    order, stack = [], [root]
     while stack:
-        node, inside = stack.pop()
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if c.tag and c.tag not in NOT_TEXT)
+    held: dict[int, int] = {}
+    for node in reversed(order):
+        never = node.attributes and node.tag not in ("html", "body") and _names(node) & NEVER
+        held[id(node)] = 0 if never else sum(held.get(id(c), 0) if c.tag else len(c.text) for c in node.children)
+    whole = max(1, held[id(root)])
+    waiting = [(root, False)]
+    while waiting:
+        node, inside = waiting.pop()
         inside = inside or node.tag in ("article", "main")
         for child in node.children:
             if child.tag:
-                child.skipped = _left_out(child, inside)
+                child.skipped = _left_out(child, inside, held.get(id(child), 0) / whole)
                 if not child.skipped:
-                    stack.append((child, inside))
+                    waiting.append((child, inside))
 
 
 def blocks(node: Node) -> list[str]:

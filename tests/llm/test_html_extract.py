@@ -30,6 +30,9 @@ def text_of(html):
          "T\nSome text that is long enough to be the article of this page.\nMore of it, with a link inside."),
         ("<article><p>a<!-- x > y --> b</p><ul><li>one<li>two</ul><table><tr><td>c<td>d</table></article>", "a b\none\ntwo\nc\nd"),
         ('<main><p title="a > b">quoted</p><p>broken <a href="x>y</p><p>rest', "quoted\nbroken"),
+        ('<div class="content has-sidebar"><p>A story that is told at some length, as stories are.</p><div class="post-footer">Filed under x</div>'
+         '<div class="sidebar">Links</div></div><div class="post-comments"><p>' + "So many words. " * 40 + "</p></div>",
+         "A story that is told at some length, as stories are."),
         ("plain &lt;text&gt; only", "plain <text> only"),
         ("", ""),
     ],
