@@ -86,9 +86,17 @@ def with_routes(
 
 def converted(routed: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``routed`` with ``markdown``. ``describe`` gets the rows that need a second call, and only
-    those, and adds ``answer`` to them; materialise ``routed`` first if its analyses cost calls."""
+    those, and adds ``answer`` to them. Materialise ``routed`` first: each branch
+    works it out anew, and filters that are pushed down parse the reply for each field."""
     blank = routed.where(F.col("route") == BLANK).withColumn("markdown", F.lit(""))
     direct = routed.where(F.col("route") == DIRECT).withColumn("markdown", F.col("analysis")["extracted_text"])
     asked = describe(routed.where(F.col("route").isin(TAILORED, FALLBACK, SIMPLE)))
     asked = asked.withColumn("markdown", strip_fences(F.col("answer"))).drop("answer")
     return blank.unionByName(direct).unionByName(asked)
+
+
+def converted_inline(routed: DataFrame, answer: Column) -> DataFrame:
+    """The same where the answer is a column expression: one pass, as the JVM evaluates a CASE's branches only where they hold."""
+    way = F.col("route")
+    direct = F.when(way == BLANK, "").when(way == DIRECT, F.col("analysis")["extracted_text"])
+    return routed.withColumn("markdown", direct.otherwise(strip_fences(answer)))

@@ -88,11 +88,8 @@ WITH a AS (
   CASE route WHEN 'blank' THEN '' WHEN 'direct' THEN text ELSE '# Page 1' || chr(10) || chr(10) || text END AS markdown FROM r"""
 )
 def q01_route_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def describe(rows: DataFrame) -> DataFrame:
-        answer = F.concat(F.lit("```markdown\n# Page 1\n\n"), F.col("text"), F.lit("\n```"))
-        return rows.withColumn("answer", answer)
-
-    out = routing.converted(routed(spark, sf_dir), describe)
+    answer = F.concat(F.lit("```markdown\n# Page 1\n\n"), F.col("text"), F.lit("\n```"))
+    out = routing.converted_inline(routed(spark, sf_dir), answer)
     return out.select("doc_id", "route", routing.model_calls(F.col("route")).alias("n_calls"), "markdown")
 
 

@@ -44,12 +44,15 @@ class Converter:
         if o.detailed_extraction:
             # an analysis that fails isn't the page's failure: the page takes the simple prompt
             asked = backends.answers(pages, self.backend, "reply", structured=True, **(calls | {"mode": "PERMISSIVE"}))
-            asked = self.materialise(asked.drop("reply_error"))
+            asked = asked.drop("reply_error")
         else:
             asked = pages.withColumn("reply", F.lit(None).cast("string"))
         routed = routing.with_routes(
             asked, self.backend.provider, o.image_mode, o.detailed_extraction, o.custom_prompt, o.fallback_scope
         )
+        if o.detailed_extraction:
+            routed = self.materialise(routed)
+
         def describe(rows: DataFrame) -> DataFrame:
             asked = backends.answers(rows, self.backend, "answer", "prompt", **calls)
             return asked.drop("answer_error")
