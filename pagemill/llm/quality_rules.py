@@ -112,6 +112,17 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*given, *made)
 
 
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``judged`` that are kept.
+
+    The filter hangs on a row's number, which keeps it above the projections
+    that work the verdict out: pushed below them it would put their whole
+    expressions into itself, and into their own lambdas, for each element anew.
+    """
+    numbered = judged(docs, text).withColumn("__at", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("__at") >= 0)).drop("__at")
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The counts and verdict of each document, without its text."""
     return judged(docs.select("doc_id", "text")).select(
