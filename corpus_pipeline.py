@@ -26,8 +26,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule are removed, and rejected documents go."""
-    judged = quality_rules.judged(docs).where("kept")
-    return _documents(judged.drop("text").withColumnRenamed("clean_text", "text"))
+    return _documents(quality_rules.accepted(docs).drop("text").withColumnRenamed("clean_text", "text"))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
