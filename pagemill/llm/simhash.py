@@ -195,9 +195,10 @@ def links(fingerprints: DataFrame, column: str = "fp", partitions: int | None =
     Enough links for each component, not each pair. ``fingerprints`` may repeat.
     """
     spark = fingerprints.sparkSession
-    distinct = fingerprints.select(F.col(column).alias("fp")).distinct()
-    keys = distinct.mapInArrow(_emit_keys, "key long, fp long")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint becomes some ninety keys: dealt out evenly first, as the few bytes of all would be read by few tasks
+    distinct = fingerprints.select(F.col(column).alias("fp")).distinct().repartition(n)
+    keys = distinct.mapInArrow(_emit_keys, "key long, fp long")
     grouped = keys.repartition(n, "key").sortWithinPartitions("key")
     found = cut(grouped.mapInArrow(_link_groups, "u long, v long, dense boolean").distinct())
     dense = found.where("dense").select(F.col("u").alias("fp"))
