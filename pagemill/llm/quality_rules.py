@@ -15,6 +15,15 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MOST_REPEATED = 50, 3, 50
 #: Separators that make a line a menu, and bullets that lead list lines of links.
 MENU_FROM, SYMBOL_SHARE, SHOUT_FROM, PROSE_FROM = 3, 0.1, 20, 5
+#: A text is hard-wrapped if the ends of a quarter of its lines lie within BAND columns.
+BAND, BAND_SHARE = 24, 0.25
+#: Marks that end a sentence in other scripts than those of ``ended`` (Unicode's Sentence_Terminal, and shad).
+OTHER_ENDS = (
+    r"\u0589\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0837\u0839\u083D\u083E\u0964\u0965\u0F0D\u0F0E\u104A\u104B\u1362\u1367\u1368"
+    r"\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1B7D\u1B7E\u1C3B\u1C3C\u1C7E\u1C7F"
+    r"\u203C\u203D\u2047-\u2049\u2E2E\u2E3C\u2E53\u2E54\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9"
+    r"\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE12\uFE52\uFE56\uFE57\uFF0E\uFF61"
+)
 #: A document that loses more than this share of its characters is rejected.
 MOST_LOST = 0.4
 BOILERPLATE = (
@@ -34,26 +43,65 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
 
 
-def _line_fails(line: Column) -> Column:
-    """Whether a line is to go. Blank lines stay; they hold no text."""
+def _ended(bare: Column) -> Column:
+    """Whether a text ends as prose does, or holds a sentence's end."""
+    last = F.substring(bare, -4, 4).rlike(rf"[.!?:;…。！？{OTHER_ENDS}][\"'”’»)\]]*$")
+    return last | bare.rlike(rf"[.!?…。{OTHER_ENDS}][\"'”’»)\]]?\s")
+
+
+def _line_fails(line: Column, paragraph: Column | None = None) -> Column:
+    """Whether a line is to go. Blank lines stay; they hold no text.
+
+    A line of a hard-wrapped paragraph has an end if the paragraph has one.
+    """
     bare = F.btrim(line, F.lit(BLANKS))
     n = F.char_length(bare)
     menu = _count_of(bare, "|»•›·") >= MENU_FROM
     symbols = _count_of(bare, SYMBOLS) > SYMBOL_SHARE * n
     shouting = (n >= SHOUT_FROM) & ~bare.rlike(r"\p{Ll}") & bare.rlike(r"\p{Lu}")
-    ended = F.substring(bare, -4, 4).rlike(r"[.!?:;…。！？][\"'”’»)\]]*$") | bare.rlike(r"[.!?…。][\"'”’»)\]]?\s")
-    unended = bare.rlike(r"^" + r"\S++\s++" * (PROSE_FROM - 1) + r"\S") & ~ended
+    unended = bare.rlike(r"^" + r"\S++\s++" * (PROSE_FROM - 1) + r"\S") & ~_ended(bare)
+    if paragraph is not None:
+        unended &= ~_ended(F.btrim(paragraph, F.lit(BLANKS)))
     code = F.substring(bare, -1, 1).isin("{", "}")
     return (n > 0) & (menu | symbols | shouting | unended | code | bare.rlike(BOILERPLATE))
 
 
+def _width(full: str) -> Column:
+    """The column at which a text is wrapped, from its lines that aren't blank; null if it isn't wrapped.
+
+    That is the longest length with a quarter of the lines, and one more, at
+    most BAND below it: paragraphs of a line each have lengths of all kinds.
+    """
+    lengths = F.reverse(F.array_sort(F.transform(full, lambda x: F.char_length(F.rtrim(x, F.lit(BLANKS))))))
+    peer = F.greatest(F.lit(1), F.floor(BAND_SHARE * F.size(full)).cast("int"))
+    wide = F.filter(F.arrays_zip(lengths.alias("n"), F.slice(lengths, peer + 1, F.size(full)).alias("m")), lambda x: x["n"] - x["m"] <= BAND)
+    return F.get(wide, F.lit(0))["n"]
+
+
+def _paragraphs(lines: str, width: str) -> Column:
+    """The paragraphs of a hard-wrapped text, their lines joined by line feeds.
+
+    A line is carried on by the next if that one's first word had no room in
+    it. Lines carried on aren't blank, so two line feeds part paragraphs only.
+    """
+
+    def marked(x: Column, i: Column) -> Column:
+        after = F.btrim(F.get(lines, i + 1), F.lit(BLANKS))
+        n = F.char_length(F.rtrim(x, F.lit(BLANKS)))
+        word = F.char_length(F.regexp_extract(after, r"^\S*", 0))
+        on = (F.btrim(x, F.lit(BLANKS)) != "") & (after != "") & (n <= F.col(width)) & (n + 1 + word > F.col(width))
+        return F.when(on | (i == F.size(lines) - 1), x).otherwise(F.concat(x, F.lit("\n")))
+
+    return F.split(F.array_join(F.transform(lines, marked), "\n"), "\n\n", -1)
+
+
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``clean_text`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_lines_removed, lost_share and kept.
 
     ``clean_text`` is the text less the lines that fail a rule: menus, lines of
-    symbols, shouting, prose without an end mark, code, boilerplate
-    phrases. base_failed: fewer than 50 words, or more than half of them in
+    symbols, shouting, prose without an end mark (in hard-wrapped texts: lines
+    of paragraphs without one), code, boilerplate phrases. base_failed: fewer than 50 words, or more than half of them in
     three-word windows that occur twice. kept: neither base_failed nor more
     than MOST_LOST of the characters (line feeds apart) lost. Null and empty
     texts have no words, fail and aren't kept. Repeated rows are judged alike;
@@ -71,9 +119,14 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": _count_of(whole, SYMBOLS).cast("long"),
             "__full": F.filter("__lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
             "__hash": F.transform("__words", lambda w: F.xxhash64(w)),
-            "__stay": F.filter("__lines", lambda x: ~_line_fails(x)),
         }
     ).drop("__words")
+    df = df.withColumn("__width", _width("__full"))
+    of_wrapped = F.flatten(
+        F.transform(_paragraphs("__lines", "__width"), lambda p: F.filter(F.split(p, "\n", -1), lambda x: ~_line_fails(x, p)))
+    )
+    alone = F.filter("__lines", lambda x: ~_line_fails(x))
+    df = df.withColumn("__stay", F.when(F.col("__width").isNull(), alone).otherwise(of_wrapped)).drop("__width")
     windows = F.transform(
         F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
         lambda i: F.xxhash64(*[F.get("__hash", i + k) for k in range(WINDOW)]),

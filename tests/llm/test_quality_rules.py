@@ -1,3 +1,4 @@
+import textwrap
 from collections import Counter
 
 from helpers import docs
@@ -53,5 +54,21 @@ def test_cleaned_text_and_columns(spark):
     assert by[5]["clean_text"] == prose(10) and by[5]["lost_share"] == 0
 
 
+def sentences(n, k=0, end="."):
+    return ["Some " + " ".join(f"word{k}{i}x{j * j}" for j in range(23)) + " and so on" + end for i in range(n)]
+
+
+def test_wrapped_prose_and_other_scripts_are_whole(spark):
+    wrapped = ["\n".join(textwrap.fill(x, w) for x in sentences(9)) for w in (40, 72, 100)]
+    parted = "\n\n".join(textwrap.fill(x, 72) for x in sentences(9, "p"))
+    unended = "\n".join(textwrap.fill(x, 72) for x in sentences(9, "u", ""))
+    mixed = wrapped[1] + "\n\nhome page of this site and of others\n\n" + parted
+    texts = [*wrapped, parted, *("\n".join(sentences(9, i, end)) for i, end in enumerate("।؟۔።။")), unended, mixed]
+    by = {r["doc_id"]: r for r in quality_rules.judged(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [i for i in by if not by[i]["kept"]] == [9]
+    assert all(by[i]["clean_text"] == texts[i] for i in range(9))
+    assert by[10]["n_lines_removed"] == 1 and "home page" not in by[10]["clean_text"]
+
+
 def test_empty(spark):
     assert quality_rules.verdicts(docs(spark, [])).count() == 0
