@@ -11,6 +11,11 @@ document's pieces follow from its place in its queue alone: windows are filled
 in parallel, with the deficits that a serial run would have carried to them,
 and all queues end in the last window, the only one that is not full.
 
+Sources beyond the largest share the last queue, by a binary tree over them: of
+S tokens that a node has sent, its left half of T_l of its T tokens has sent
+floor(S T_l / T) and its right half the others. Both grow with S, so however
+few tokens the queue sends in a window, each source's deficit is carried too.
+
 Documents are tokenised once, into a staged table; their places follow from
 counts per task and source, so no token is shuffled.
 """
@@ -32,8 +37,10 @@ from pagemill.llm.common import small_batches, staged
 from pagemill.llm.tokens import load, token_ids, vocabulary_path
 
 LENGTH = 4096
-#: Queues; sources beyond the largest share the last one.
+#: Queues; sources beyond the largest share the last one, in which a tree serves each by its share.
 QUEUES = 64
+#: Sources whose places are broadcast; those of more are shuffled to the rows.
+MOST_SENT = 10_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, source string, padded_length long"
@@ -82,17 +89,47 @@ class Schedule:
         others = sum(min(windows * self.length * t // self.total, t) for t in self.totals[1:])
         return min(windows * self.length, self.total) - others
 
-    def pieces(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset in the window) of n tokens from ``place`` on."""
-        low, high = self.window_of(queue, place), self.window_of(queue, place + n - 1)
-        for at in range(low, high + 1, 1024):
-            upto = min(high + 1, at + 1024)
-            sent = self.sent(range(at, upto + 1))
-            before, after = sent[:-1, queue], sent[1:, queue]
-            first = (sent[1:, :queue] - sent[:-1, :queue]).sum(axis=1)
+    def pieces(self, queue: int, place: int, n: int, path: Path = ()) -> Iterator[tuple[int, int, int, int]]:
+        """(start in the document, length, window, offset in the window) of n tokens from ``place`` on,
+        in the queue or, by its path, in one source of those that share it."""
+        window = lambda at: self.window_of(queue, _place_in_queue(path, at))
+        low, high = window(place), window(place + n - 1)
+        # a source with few tokens skips windows
+        used = range(low, high + 1) if not path or high - low < n else sorted({window(at) for at in range(place, place + n)})
+        for at in range(0, len(used), 1024):
+            some = used[at : at + 1024]
+            sent, then = self.sent(some), self.sent([w + 1 for w in some])
+            before, after = sent[:, queue], then[:, queue]
+            first = (then[:, :queue] - sent[:, :queue]).sum(axis=1)
+            for right, left, total in path:
+                a, b = before * left // total, after * left // total
+                first = first + (b - a) if right else first
+                before, after = (before - a, after - b) if right else (a, b)
             begin, end = np.maximum(before, place), np.minimum(after, place + n)
             for i in np.flatnonzero((end > begin).astype(bool)):
-                yield int(begin[i] - place), int(end[i] - begin[i]), at + int(i), int(first[i] + begin[i] - before[i])
+                yield int(begin[i] - place), int(end[i] - begin[i]), int(some[i]), int(first[i] + begin[i] - before[i])
+
+
+#: From the root of a shared queue's tree down to a source: whether it lies right, tokens of the left half, tokens of both.
+Path = tuple[tuple[bool, int, int], ...]
+
+
+def path_to(rank: int, ends: np.ndarray) -> Path:
+    """The path to a source by its rank, where ``ends`` are 0 and the sums of the sources' tokens up to each."""
+    low, high, out = 0, len(ends) - 1, []
+    while high - low > 1:
+        middle = (low + high) // 2
+        right = rank >= middle
+        out.append((right, int(ends[middle] - ends[low]), int(ends[high] - ends[low])))
+        low, high = (middle, high) if right else (low, middle)
+    return tuple(out)
+
+
+def _place_in_queue(path: Path, place: int) -> int:
+    """Where a token of a source stands among those of its queue."""
+    for right, left, total in reversed(path):
+        place = place * total // (total - left) if right else -(-(place + 1) * total // left) - 1
+    return place
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -135,30 +172,25 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, queues:
     rows = tokenised(docs, path or vocabulary_path())
     per_task = rows.groupBy("source", "task").agg(F.sum("n").alias("n"))
     per_source = rows.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = per_source.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(queues - 1).collect()
-    total = per_source.agg(F.sum("n")).first()[0] or 0
-    rest = total - sum(r["n"] for r in largest)
-    sizes = [r["n"] for r in largest] + [rest] * (rest > 0)
+    by_size = per_source.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).collect()  # a row a source
+    largest, sharing = by_size[: queues - 1], by_size[queues - 1 :]
+    ends = np.cumsum([0] + [r["n"] for r in sharing])
+    sizes = [r["n"] for r in largest] + [int(ends[-1])] * bool(sharing)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     schedule = Schedule(tuple(sizes[i] for i in order), length)
     place = {i: q for q, i in enumerate(order)}
     spark = docs.sparkSession
     named = spark.createDataFrame(
-        [(r["source"], place[i]) for i, r in enumerate(largest)], "named string, queue int"
-    )
-    others = place.get(len(largest), 0)
-    starts = per_task.join(F.broadcast(named), per_task["source"].eqNullSafe(named["named"]), "left")
-    starts = starts.select("source", "task", "n", F.coalesce("queue", F.lit(others)).alias("queue"))
-    of_task = starts.groupBy("queue", "task").agg(F.sum("n").alias("k"))
-    before = W.partitionBy("queue").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    of_task = of_task.select("queue", "task", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("earlier"))
-    inside = W.partitionBy("queue", "task").orderBy("source").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(of_task, ["queue", "task"])
-    starts = starts.select(
-        F.col("source").alias("of"), F.col("task").alias("at"), "queue", (F.col("earlier") + F.col("inside")).alias("begin")
+        [(r["source"], place[min(i, len(largest))], i - len(largest)) for i, r in enumerate(by_size)],
+        "named string, queue int, rank int",
     )
+    named = F.broadcast(named) if len(by_size) <= MOST_SENT else named
+    before = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    starts = per_task.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.join(named, starts["source"].eqNullSafe(named["named"]))
+    starts = starts.select(F.col("source").alias("of"), F.col("task").alias("at"), "queue", "rank", "begin")
     placed = rows.join(starts, rows["source"].eqNullSafe(starts["of"]) & (rows["task"] == starts["at"]))
-    placed = placed.select("doc_id", "source", "ids", "n", "queue", (F.col("begin") + F.col("before")).alias("place"))
+    placed = placed.select("doc_id", "source", "ids", "n", "queue", "rank", (F.col("begin") + F.col("before")).alias("place"))
     last = schedule.windows - 1
     filled = schedule.total - last * length
     padded_last = filled if filled & (filled - 1) == 0 else length
@@ -167,9 +199,9 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, queues:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "padded_length"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc, source, raw, n, queue, at in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for doc, source, raw, n, queue, rank, at in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 ids = np.frombuffer(raw, "<u2").astype("<u4")
-                for start, k, window, offset in schedule.pieces(queue, at, n):
+                for start, k, window, offset in schedule.pieces(queue, at, n, path_to(rank, ends) if rank >= 0 else ()):
                     crc = zlib.crc32(ids[start : start + k].tobytes())
                     row = (doc, start, k, crc, n, window, offset, source, padded_last if window == last else length)
                     for column, value in zip(out, row):

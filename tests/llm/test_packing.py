@@ -74,5 +74,35 @@ def test_packs_each_id_once_and_holds_the_mixture(spark, queues):
                     assert abs(here - 256 * n / total) <= len(share)
 
 
+@pytest.mark.parametrize("queues,length", [(3, 512), (2, 256)])
+def test_sources_of_a_shared_queue_keep_their_shares(spark, queues, length):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{rng.integers(0, 99)}" for _ in range(int(rng.integers(1, 90)))), f"s{i % 40 if i % 3 else i % 5}") for i in range(900)]
+    rows += [(1000, "rare", "once"), (1001, "x y", None)]
+    got = packing.pack(docs(spark, rows).repartition(5), length=length, queues=queues).collect()
+    share, by_seq, by_doc = defaultdict(int), defaultdict(list), defaultdict(list)
+    for r in got:
+        share[r["source"]] += r["length"]
+        by_seq[r["sequence_id"]].append(r)
+        by_doc[r["doc_id"]].append(r)
+    total = sum(share.values())
+    for pieces in by_doc.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == pieces[0]["doc_tokens"]
+    assert len(by_doc) == len(rows) and len(by_seq) == -(-total // length)
+    for s, pieces in by_seq.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        if s < len(by_seq) - 1:
+            assert at == length
+            for source, n in share.items():
+                assert abs(sum(r["length"] for r in pieces if r["source"] == source) - length * n / total) <= 3
+
+
 def test_empty(spark):
     assert packing.pack(docs(spark, [])).count() == 0
