@@ -138,23 +138,29 @@ def top_k(
     is_query = F.col("vec_id") % every == 0
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[int, np.ndarray] = {}
+        near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, dist = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cell, dist, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             for c in np.unique(cell):
-                both = np.concatenate([near.get(int(c), np.zeros(0)), dist[cell == c]])
-                near[int(c)] = np.sort(both)[: k + 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(near), pa.int32()), pa.array([v.tolist() for v in near.values()], pa.list_(pa.float64()))], names=["cell", "near"]
-        )
-
-    nearest = placed.select("cell", "dist").mapInArrow(summary, "cell int, near array<double>")
-    nearest = nearest.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+                far, of = near.get(int(c), (np.zeros(0), np.zeros(0, np.int64)))
+                far, of = np.concatenate([far, dist[cell == c]]), np.concatenate([of, ids[cell == c]])
+                by = np.argsort(far, kind="stable")
+                by = by[np.sort(np.unique(of[by], return_index=True)[1])[: k + 1]]  # an id's nearest row
+                near[int(c)] = far[by], of[by]
+        cells = np.repeat(np.array(list(near), np.int32), [len(far) for far, _ in near.values()])
+        far = np.concatenate([np.zeros(0), *(v[0] for v in near.values())])
+        of = np.concatenate([np.zeros(0, np.int64), *(v[1] for v in near.values())])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(far), pa.array(of, pa.int64())], names=["cell", "far", "of"])
+
+    nearest = placed.select("cell", "dist", "vec_id").mapInArrow(summary, "cell int, far double, of long")
+    nearest = nearest.groupBy("cell", "of").agg(F.min("far").alias("far")).groupBy("cell")
+    nearest = nearest.agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "of"))), 1, k + 1).alias("found"))
+    nearest = nearest.select("cell", F.col("found.far").alias("near"), F.col("found.of").alias("near_ids"))
     sizes = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("dist").alias("radius"), F.count_if(is_query).alias("queries"),
         F.max(F.when(is_query, F.col("dist"))).alias("query_radius"), F.max(F.when(is_query, F.col("norm"))).alias("query_norm"),
     )
-    cells = {r["cell"]: r for r in sizes.join(nearest, "cell").collect()}  # at most ``pivots`` rows
+    cells = {r["cell"]: r.asDict() for r in sizes.join(nearest, "cell").collect()}  # at most ``pivots`` rows
     parts, groups = _groups(cells, block)
     plan = {g: _needed(g_cells, cells, centres, k) for g, g_cells in groups.items()}
     held = {g: sum(cells[j]["n"] for j, least in needs.items() if least <= cells[j]["radius"]) for g, needs in plan.items()}
@@ -254,8 +260,12 @@ def _needed(members: list[int], cells: dict, centres: np.ndarray, k: int) -> dic
     for c in members:
         radius, norm = cells[c]["query_radius"], cells[c]["query_norm"]
         middle = p[c] @ p.T
-        low = [middle[j] - radius * length[j] - norm * d for j, cell in cells.items() for d in cell["near"]]
-        floor = sorted(low, reverse=True)[k] if len(low) > k else -np.inf  # one may be the query's own
+        low: dict = {}
+        for j, cell in cells.items():
+            for i, d in enumerate(cell["near"]):
+                of = cell["near_ids"][i] if "near_ids" in cell else (j, i)
+                low[of] = max(low.get(of, -np.inf), middle[j] - radius * length[j] - norm * d)
+        floor = sorted(low.values(), reverse=True)[k] if len(low) > k else -np.inf  # one may be the query's own
         slack = 1e-9 * (norm * (length.max() + max(x["radius"] for x in cells.values())) + 1)
         for j in cells:
             high = middle[j] + radius * length[j] + slack

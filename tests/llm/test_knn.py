@@ -44,6 +44,19 @@ def test_few_and_huge(spark):
     assert knn.top_k(spark.createDataFrame([(100, [1.0])], SCHEMA)).count() == 0
 
 
+def test_copies_of_a_query_are_no_candidates(spark):
+    rows = [(100, [10.0, 0.0])] * 11 + [(i, [0.001 * i, 9.0]) for i in range(1, 31)]
+    got = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), pivots=2).collect())
+    assert got == brute(rows) and len(got) == 10
+
+
+def test_an_id_in_several_cells_counts_once():
+    centres = np.array([[10000, 0], [9999, 1], [0, 9000]])
+    cell = lambda q, of: {"n": 11, "radius": 10.0, "queries": q, "query_radius": 0.0, "query_norm": 10000.0, "near": [0.0] * len(of), "near_ids": of}
+    needs = knn._needed([0], {0: cell(11, [100]), 1: cell(0, [100]), 2: cell(0, [1])}, centres, 1)
+    assert needs[2] <= 10
+
+
 def test_bounds_leave_far_cells_out():
     centres = np.array([[0, 9000], [9000, 0], [-9000, 0]])
     cell = lambda q: {"n": 50, "radius": 10.0, "queries": q, "query_radius": 5.0, "query_norm": 9005.0, "near": [1.0] * 11}
