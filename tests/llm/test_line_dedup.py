@@ -27,5 +27,17 @@ def test_other_columns_stay_and_clashing_ones_are_replaced(spark):
     assert got[200]["text"] == "" and got[200]["n_lines"] == 1
 
 
+def test_more_frequent_lines_than_are_sent(spark, tmp_path):
+    docs(spark, fixture()).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d")).selectExpr("*", "doc_id as row", "text as AT", "1 as h")
+    sent, shuffled = (sorted(map(str, line_dedup.drop_frequent_lines(df, most_sent=n).collect())) for n in (1000, 0))
+    assert sent == shuffled
+
+
+def test_keys_of_a_least_length(spark):
+    df = docs(spark, [(i, "é\nab\nabc", "a") for i in range(10)])
+    assert {r["text"] for r in line_dedup.drop_frequent_lines(df, min_chars=2).collect()} == {"é"}
+
+
 def test_empty(spark):
     assert line_dedup.digest(docs(spark, [])).count() == 0
