@@ -7,18 +7,22 @@ transfer framing; a payload over ``SEGMENT`` bytes is cut into a first record
 and continuation records. Pages of equal payloads are archived once, the
 others as revisits.
 
-Reading takes files apart in a stream of records. Segments are grouped by
-their origin's identifier and ordered by number; the total length is verified,
-and only then is the chunked framing decoded.
+Reading unzips files in a stream, a record of at most ``SEGMENT`` bytes at a
+time. Segments are grouped by their origin's identifier and ordered by number;
+the total length is verified, and only then is the chunked framing decoded.
+Which payloads are equal is found from digests alone; html stays where it is
+while the digests that repeat prove few (see ``looked_up``).
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import remove_at_exit, shared_dir, small_batches
+from pagemill.llm.common import looked_up, remove_at_exit, shared_dir, small_batches, staged
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_FROM = 1000
@@ -35,7 +39,7 @@ SEGMENT = 64 << 10
 CHUNK = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2000
-_HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+_FIRST = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 class WarcError(ValueError):
@@ -98,7 +102,9 @@ def records(
 ) -> list[str]:
     """The records of one page: a response, in segments if long, or a revisit."""
     payload = html or ""
-    base = [("WARC-Date", DATE), ("WARC-Target-URI", _one_line(url) if url is not None else "urn:null")]
+    base: list[tuple[str, object]] = [("WARC-Date", DATE)]
+    if url is not None:
+        base.append(("WARC-Target-URI", _one_line(url)))
     page = [("Page-ID", "null" if page_id is None else page_id), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload.encode())}\r\n\r\n"
@@ -125,23 +131,23 @@ def records(
     return out
 
 
-def with_originals(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
+def with_originals(pages: DataFrame, least: int = REVISIT_FROM, small: bool | None = None) -> DataFrame:
     """``pages`` (page_id, url, html) with ``digest`` and, for revisits, ``refers_to``.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the
     largest page_id are responses. Rows without a page_id are responses too.
+    Only digests are shuffled, unless those that repeat are too many to send.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    hashed = pages.select("page_id", "url", "html", F.sha1(F.encode(payload, "utf-8")).alias("digest"))
-    long = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= least
-    originals = (
-        hashed.where(long & F.col("page_id").isNotNull())
-        .groupBy(F.col("digest").alias("same"))
-        .agg(F.max("page_id").alias("original"), F.min("page_id").alias("another"))
-        .where("original <> another")
-        .select("same", "original")
-    )
-    joined = hashed.join(originals, F.col("digest") == F.col("same"), "left")
+    digest = F.sha1(F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8"))
+    may = F.coalesce((F.octet_length("html") >= least) & F.col("page_id").isNotNull(), F.lit(False))
+    repeated = pages.where(may).select(digest.alias("same"), "page_id").groupBy("same")
+    repeated = repeated.agg(F.max("page_id").alias("original"), F.min("page_id").alias("another"), F.count("*").alias("rows"))
+    originals = staged(repeated.where("original <> another").select("same", "original", "rows"))
+    # rows that can't be revisits, of which many may be equal, have keys of their own
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    hashed = pages.select("page_id", "url", "html", digest.alias("digest"), own.alias("own"))
+    keyed = hashed.withColumn("same", F.when(may, F.col("digest")).otherwise(F.col("own"))).drop("own")
+    joined = looked_up(keyed, originals, "same", "rows", small)
     refers = F.when(F.col("page_id") < F.col("original"), F.col("original"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -166,22 +172,24 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(content):
-        head = _HEADER.match(content, at)
-        if head is None:
-            raise WarcError(f"no record at byte {at}")
+    """(headers, block) of each record of an archive, gzipped or not, unzipped in a stream."""
+    held = io.BytesIO(content)
+    archive: BinaryIO = gzip.open(held) if content[:2] == b"\x1f\x8b" else held
+    n = 0
+    while first := archive.readline(1 << 16):
+        if not _FIRST.fullmatch(first):
+            raise WarcError(f"record {n} doesn't begin with its version")
         headers = {}
-        for line in head[1].decode().split("\r\n")[:-1]:
-            name, _, value = line.partition(":")
+        while (line := archive.readline(1 << 20)) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise WarcError(f"the headers of record {n} are cut short")
+            name, _, value = line.decode().partition(":")
             headers[name.strip().lower()] = value.strip()
-        n = int(headers["content-length"])
-        block = content[head.end() : head.end() + n]
-        at = head.end() + n
-        if len(block) < n or content[at : at + 4] != b"\r\n\r\n":
-            raise WarcError(f"a record of {n} bytes is cut short")
-        at += 4
+        size = int(headers["content-length"])
+        block = archive.read(size)
+        if len(block) < size or archive.read(4) != b"\r\n\r\n":
+            raise WarcError(f"record {n}, of {size} bytes, is cut short")
+        n += 1
         yield headers, block
 
 
@@ -209,12 +217,12 @@ def read_records(spark, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 data, held = batch.column(0)[i].as_py(), 0
-                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for h, block in parse(data):
                     origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     number, total = _number(h.get("warc-segment-number")), _number(h.get("warc-segment-total-length"))
                     page, refers = _number(h.get("page-id")), _number(h.get("refers-to-page-id"))
-                    rows.append((origin, number, total, h["warc-type"], page, h["warc-target-uri"], digest, refers, block))
+                    rows.append((origin, number, total, h["warc-type"], page, h.get("warc-target-uri"), digest, refers, block))
                     held += len(block)
                     if held > 8 << 20:
                         yield made()
@@ -252,7 +260,7 @@ _PAGE = "page_id long, url string, payload binary, payload_bytes long, payload_d
 
 
 def _page(first: dict, block: bytes) -> tuple:
-    url = None if first["url"] == "urn:null" else unquote(first["url"])
+    url = None if first["url"] is None else unquote(first["url"])
     if first["type"] == "revisit":
         length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block)
         if length is None:
@@ -297,8 +305,9 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """What is read back of the archives that ``pages`` (page_id, url, html) are written to.
 
     Null html is an empty payload, and null urls and page_ids come back null.
-    Repeated rows are archived each; those with the largest page_id of their
-    payload are responses. No rows give no rows. Other columns are ignored.
+    Payloads of any length are archived whole, in segments. Repeated rows are
+    archived each; those with the largest page_id of their payload are
+    responses. No rows give no rows. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

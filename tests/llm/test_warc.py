@@ -36,6 +36,18 @@ def test_round_trip(spark, segment):
     assert sorted(got, key=order) == sorted(want(rows), key=order)
 
 
+def test_a_url_that_looks_like_a_marker_comes_back(spark):
+    rows = [(1, "urn:null", "a"), (2, None, "b"), (3, "", "c"), (4, "null", "d")]
+    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == rows
+
+
+def test_originals_in_a_shuffle(spark):
+    df = spark.createDataFrame(fixture(), SCHEMA)
+    sent, shuffled = (sorted(map(str, warc.with_originals(df, small=x).drop("html").collect())) for x in (True, False))
+    assert sent == shuffled
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
