@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import golay
-from pagemill.llm.common import cut, small_batches, utf8
+from pagemill.llm.common import carried, cut, free, looked_up, small_batches, utf8
 from pagemill.llm.components import Forest, components
 
 MOST_BITS, WORDS = 4, 4
@@ -74,8 +75,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", wor
                 [*(batch.column(c) for c in kept), pa.array(found.view(np.int64))], names=[*kept, into]
             )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, text).mapInArrow(run, f"{schema}{', ' * bool(kept)}`{into}` long")
+    schema = T.StructType([*carried(docs, *kept), T.StructField(into, T.LongType())])
+    return docs.select(*kept, text).mapInArrow(run, schema)
 
 
 def _bits(values: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -211,7 +212,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     component_id is the smallest doc_id whose document is reachable through
     links of 4 or fewer differing bits, itself included. Null and blank texts
-    have fingerprint zero and are linked like any other. A null doc_id is
+    have fingerprint zero and are linked like any other. Texts are taken
+    whole, however long. A null doc_id is
     never the smallest unless all of a component are null, and then the
     component's id is null. Repeated rows are returned as often as they come;
     an empty table gives no rows. Other columns are ignored, whatever their names.
@@ -223,28 +225,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
 
 
-def classes(prints: DataFrame, label: F.Column) -> DataFrame:
-    """``prints`` has fp; adds ``least``, the smallest label of each row's component."""
-    least = cut(prints.groupBy("fp").agg(F.min(label).alias("own")))
+def classes(prints: DataFrame, label: F.Column, small: bool | None = None) -> DataFrame:
+    """``prints`` (staged) has fp; adds ``least``, the smallest label of each row's component.
+
+    Copies without number share a fingerprint, and fingerprints without number
+    a component: both are looked up as hot keys.
+    """
+    least = cut(prints.groupBy("fp").agg(F.min(label).alias("own"), F.count("*").alias("rows")))
     roots = components(links(least.select("fp")))
-    rooted = least.join(roots, least["fp"] == roots["node"], "left").select(
-        "fp", "own", F.coalesce("root", "fp").alias("root")
-    )
-    by_root = rooted.groupBy("root").agg(F.min("own").alias("least"))
-    table = rooted.join(by_root, "root").select("fp", "least")
-    return prints.join(table, "fp")
+    rooted = least.join(roots, least["fp"] == roots["node"], "left")
+    rooted = cut(rooted.select("fp", "own", "rows", F.coalesce("root", "fp").alias("root")))
+    by_root = cut(rooted.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("prints")))
+    table = cut(looked_up(rooted.select("fp", "rows", "root"), by_root, "root", "prints", small).select("fp", "rows", "least"))
+    return looked_up(prints, table, "fp", "rows", small)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one document: that with the
     smallest doc_id (nulls last), and among rows that repeat it, the first in the table.
 
-    ``docs`` should be a table read from files, so that its rows have the same
-    places when they are read twice.
+    Null, blank and very long texts as in ``near_duplicates``. Other columns
+    are handed on, whatever their names. ``docs`` should be a table read from
+    files, so that its rows have the same places when they are read twice.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    narrow = placed.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), "__row")
+    row = free("row", *docs.columns)
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    narrow = placed.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(row).alias("row"))
     prints = cut(with_fingerprints(narrow, "text", "fp"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "__row")
-    stay = classes(prints, order).where(F.col("least")["__row"] == F.col("__row")).select("__row")
-    return placed.join(stay, "__row", "left_semi").drop("__row")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    go = classes(prints, order).where(F.col("least")["row"] != F.col("row")).select(F.col("row").alias(row))
+    return placed.join(cut(go), row, "left_anti").drop(row)

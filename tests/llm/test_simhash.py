@@ -69,6 +69,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
 
+def test_one_of_each_keeps_clashing_columns_and_shuffled_lookups_agree(spark, tmp_path):
+    rows = texts()
+    spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "'r' as __row", "'R' as ROW", "1 as fp").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns and {(r["__row"], r["ROW"]) for r in out.collect()} == {("r", "R")}
+    want = {c for _, _, c in brute(rows)}
+    assert len(out.collect()) == len({(c, None if c is not None else t) for (_, t), (_, _, c) in zip(rows, brute(rows))}) and {r["doc_id"] for r in out.collect()} == want
+    prints = simhash.cut(simhash.with_fingerprints(df.select("doc_id", "text")))
+    sent, shuffled = (sorted(map(str, simhash.classes(prints, prints["doc_id"], x).collect())) for x in (True, False))
+    assert sent == shuffled
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
