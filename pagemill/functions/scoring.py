@@ -4,6 +4,10 @@ BLEU has uniform weights over 1 to 4-grams, no smoothing, and the brevity
 penalty (Papineni et al. 2002). A text's tokens are runs of letters, runs of
 digits and single other marks, in lower case; a reference tokenizer with rules
 of its own gives other absolute values. If any order has no match the score is 0.
+
+Both are column expressions: a pair is scored inside its row, in one pass and
+without a shuffle. Matches of an order are counted by sorting the hashes (63
+bits) of both texts' n-grams together and folding over them once.
 """
 
 from __future__ import annotations
@@ -25,62 +29,77 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def _grams(side: str, n: int) -> Column:
-    """The n-grams of an array of at least n tokens."""
-    places = F.sequence(F.lit(1), F.size(side) - n + 1)
-    return F.transform(places, lambda i: F.array_join(F.slice(F.col(side), i, F.lit(n)), "\x01"))
+def _grams(side: Column, n: int, mark: int) -> Column:
+    """The hashes of the n-grams of an array of tokens, with the lowest bit as ``mark``; none for fewer tokens."""
+    places = F.sequence(F.lit(0), F.size(side) - n)
+    hashed = F.transform(places, lambda i: F.xxhash64(*[F.get(side, i + k) for k in range(n)]).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(mark)))
+    return F.when(F.size(side) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def _matches(truth: Column, candidate: Column, n: int) -> Column:
+    """How many n-grams of the candidate are in the truth, each at most as often as there."""
+    both = F.sort_array(F.concat(_grams(truth, n, 0), _grams(candidate, n, 1)))
+    start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
+
+    def step(a: Column, x: Column) -> Column:
+        gram, of_candidate = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1)) == 1
+        left = F.when(a["g"] == gram, a["left"]).otherwise(F.lit(0))  # those of the truth come first
+        hits = of_candidate & (left > 0)
+        after = F.when(~of_candidate, left + 1).when(hits, left - 1).otherwise(left)
+        return F.struct(gram.alias("g"), after.alias("left"), (a["hit"] + hits.cast("int")).alias("hit"))
+
+    return F.aggregate(both, start, step, lambda a: a["hit"])
 
 
 def bleu(pairs: DataFrame, keys: list[str], truth: str, candidate: str) -> DataFrame:
-    """(keys, bleu) of each pair; ``keys`` name a pair uniquely.
-
-    N-grams are counted by pair with partial aggregation. A candidate without
-    tokens, or without a match in some order, scores 0.
-    """
-    both = pairs.select(*keys, tokens(F.col(truth)).alias("t"), tokens(F.col(candidate)).alias("c"))
-    sides = []
-    for side in ("t", "c"):
-        for n in range(1, ORDERS + 1):
-            grams = _grams(side, n)
-            held = both.where(F.size(side) >= n)
-            rows = held.select(*keys, F.lit(n).alias("n"), F.explode(grams).alias("g"))
-            sides.append(rows.withColumns({"in_t": F.lit(int(side == "t")), "in_c": F.lit(int(side == "c"))}))
-    every = sides[0]
-    for more in sides[1:]:
-        every = every.unionByName(more)
-    counted = every.groupBy(*keys, "n", "g").agg(F.sum("in_t").alias("t"), F.sum("in_c").alias("c"))
-    orders = counted.groupBy(*keys, "n").agg(F.sum(F.least("t", "c")).alias("hit"), F.sum("c").alias("all"))
-    logs = orders.where("hit > 0 and `all` > 0").groupBy(*keys).agg(
-        F.count("*").alias("orders"), F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs")
-    )
-    sizes = both.select(*keys, F.size("t").alias("nt"), F.size("c").alias("nc"))
-    joined = sizes.join(logs, keys, "left")
-    brevity = F.when(F.col("nc") > F.col("nt"), 1.0).otherwise(F.exp(1 - F.col("nt") / F.nullif(F.col("nc"), F.lit(0))))
-    score = F.when(F.col("orders") == ORDERS, brevity * F.exp(F.col("logs") / ORDERS)).otherwise(0.0)
-    return joined.select(*keys, F.coalesce(score, F.lit(0.0)).alias("bleu"))
+    """(keys, bleu) of each pair. A candidate without tokens, or without a match in some order, scores 0."""
+    return with_bleu(pairs, truth, candidate).select(*keys, "bleu")
+
+
+def with_bleu(pairs: DataFrame, truth: str, candidate: str, into: str = "bleu") -> DataFrame:
+    """``pairs`` with the score; nulls count as empty texts."""
+    t, c = (f"{into}_{x}_tokens" for x in ("truth", "candidate"))
+    tokenised = pairs.withColumns({t: tokens(F.coalesce(F.col(truth), F.lit(""))), c: tokens(F.coalesce(F.col(candidate), F.lit("")))})
+    hits = {f"{into}_{n}": _matches(F.col(t), F.col(c), n) for n in range(1, ORDERS + 1)}
+    counted = tokenised.withColumns(hits)
+    logs, every = F.lit(0.0), F.lit(True)
+    for n in range(1, ORDERS + 1):
+        hit = F.col(f"{into}_{n}")
+        every = every & (hit > 0)
+        logs = logs + F.log(F.when(hit > 0, hit / (F.size(c) - (n - 1))))
+    nt, nc = F.size(t), F.size(c)
+    brevity = F.when(nc > nt, 1.0).otherwise(F.exp(1 - nt / F.nullif(nc, F.lit(0))))
+    score = F.when(every, brevity * F.exp(logs / ORDERS)).otherwise(F.lit(0.0))
+    return counted.withColumn(into, F.coalesce(score, F.lit(0.0))).drop(t, c, *hits)
 
 
 def accuracy(pairs: DataFrame, keys: list[str], truth: str, candidate: str) -> DataFrame:
-    """(keys, bleu, edit, accuracy): accuracy is the mean of both scores."""
-    edits = pairs.select(*keys, edit_similarity(F.col(truth), F.col(candidate)).alias("edit"))
-    out = bleu(pairs, keys, truth, candidate).join(edits, keys)
-    return out.withColumn("accuracy", (F.col("bleu") + F.col("edit")) / 2)
+    """(keys, bleu, edit, accuracy): accuracy is the mean of both scores. Nulls count as empty texts."""
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    scored = with_bleu(pairs, truth, candidate).withColumn("edit", edit_similarity(text(truth), text(candidate)))
+    return scored.select(*keys, "bleu", "edit").withColumn("accuracy", (F.col("bleu") + F.col("edit")) / 2)
+
+
+def result_text(result: Column) -> Column:
+    """A parser's result as one text: pages given as an array are joined by a line feed; null is empty."""
+    return F.coalesce(F.array_join(F.transform(result, lambda p: F.coalesce(p, F.lit(""))), "\n"), F.lit(""))
 
 
-def by_parser(runs: DataFrame, parser: str = "parser", run: str = "run", score: str = "accuracy") -> DataFrame:
-    """(parser, avg_accuracy, num_runs, accuracy_scores in order of runs)."""
+def by_parser(runs: DataFrame, parser: str = "parser", run: str = "run", score: str = "accuracy", order: str | None = None) -> DataFrame:
+    """(parser, avg_accuracy, num_runs, accuracy_scores in order of runs), and the least of ``order``, the
+    parsers' order as run, if that is a column."""
     each = F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col(score).alias("s"))))
+    more = [F.min(order).alias(order)] if order else []
     return runs.groupBy(parser).agg(
-        F.avg(score).alias("avg_accuracy"), F.count("*").cast("int").alias("num_runs"), F.transform(each, lambda x: x["s"]).alias("accuracy_scores")
+        F.avg(score).alias("avg_accuracy"), F.count("*").cast("int").alias("num_runs"), F.transform(each, lambda x: x["s"]).alias("accuracy_scores"), *more
     )
 
 
 def report(results: list, generated: str) -> str:
-    """The results as a markdown report: summary, then details, two decimals."""
-    out = ["# Benchmark Results", "", f"Generated on: {generated}", "", "## Summary", "", "| Parser | Accuracy |", "|--------|----------|"]
-    out += [f"| {r['parser']} | {r['avg_accuracy']:.2f} |" for r in results]
-    out += ["", "## Detailed Results", ""]
+    """The results as markdown: a ranking's table first, then each parser's runs; two decimals."""
+    lines = [f"# How close the parsers came ({generated})", "", "| | parser | mean score |", "| -: | :- | -: |"]
+    lines += [f"| {i} | {r['parser']} | {r['avg_accuracy']:.2f} |" for i, r in enumerate(results, 1)]
     for r in results:
-        scores = ", ".join(f"{x:.2f}" for x in r["accuracy_scores"])
-        out += [f"### {r['parser']}", "", f"- Number of runs: {r['num_runs']}", f"- Individual accuracy scores: {scores}", ""]
-    return "\n".join(out)
+        lines += ["", f"## Runs of {r['parser']}", "", "| run | score |", "| -: | -: |"]
+        lines += [f"| {i} | {x:.2f} |" for i, x in enumerate(r["accuracy_scores"], 1)]
+    return "\n".join([*lines, ""])

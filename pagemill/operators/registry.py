@@ -20,18 +20,20 @@ STATIC_MODELS = {
 }
 
 
-def as_table(spark: SparkSession, models: Mapping[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(models.items()), "model string, provider string")
+def _provider(model: Column, models: Mapping[str, str]) -> Column:
+    """The provider of a model by a map that is part of the expression; null for none."""
+    if not models:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in models.items() for x in pair]), model)
 
 
-def resolve(requests: DataFrame, static: DataFrame, dynamic: DataFrame, model: str = "model") -> DataFrame:
+def resolve(requests: DataFrame, static: Mapping[str, str], dynamic: Mapping[str, str], model: str = "model") -> DataFrame:
     """``requests`` with ``provider`` and ``resolved_by``: the static registry wins, then what was
-    discovered; both null for unknown models. A registry is a handful of rows."""
-    s = static.select(F.col("model").alias("__s"), F.col("provider").alias("__sp"))
-    d = dynamic.dropDuplicates(["model"]).select(F.col("model").alias("__d"), F.col("provider").alias("__dp"))
-    out = requests.join(s, F.col(model) == F.col("__s"), "left").join(d, F.col(model) == F.col("__d"), "left")
-    by = F.when(F.col("__sp").isNotNull(), "static").when(F.col("__dp").isNotNull(), "dynamic")
-    return out.withColumns({"provider": F.coalesce("__sp", "__dp"), "resolved_by": by}).drop("__s", "__sp", "__d", "__dp")
+    discovered; both null for unknown models. A registry is a handful of models, so it is looked up
+    inside the row, and requests stay where they are."""
+    fixed, found = _provider(F.col(model), static), _provider(F.col(model), dynamic)
+    by = F.when(fixed.isNotNull(), "static").when(found.isNotNull(), "dynamic")
+    return requests.withColumns({"provider": F.coalesce(fixed, found), "resolved_by": by})
 
 
 def provider_of(model: str, discover: Callable[[], Mapping[str, str]] = dict) -> str:
@@ -53,25 +55,36 @@ def takes_images(capabilities: Column, families: Column) -> Column:
     return yes | F.coalesce(F.array_contains(families, "clip"), F.lit(False))
 
 
-class VisionModels:
-    """The image models of a local server, each asked for once; a model that can't be asked counts as without images."""
+def vision_models(spark: SparkSession, names: Callable[[], Iterable[str]], show: Callable[[str], Mapping]) -> set[str]:
+    """The models of a local server that take images.
 
-    def __init__(self, names: Callable[[], Iterable[str]], show: Callable[[str], Mapping]) -> None:
-        self._names, self._show, self._known = names, show, {}
-
-    def capable(self, model: str) -> bool:
-        if model not in self._known:
-            try:
-                said = self._show(model)
-                capabilities = said.get("capabilities")
-                families = (said.get("details") or {}).get("families") or []
-                self._known[model] = (isinstance(capabilities, list) and "vision" in capabilities) or "clip" in families
-            except Exception:
-                self._known[model] = False
-        return self._known[model]
-
-    def all(self) -> set[str]:
+    Each model is asked for once, on the driver; what they say becomes a small
+    table that ``takes_images`` is evaluated on. A model that can't be asked
+    takes none, and a server that doesn't list its models has none.
+    """
+    rows = []
+    try:
+        listed = list(dict.fromkeys(names()))
+    except Exception:
+        return set()
+    strings = lambda x: [str(v) for v in x] if isinstance(x, (list, tuple)) else None
+    for name in listed:
         try:
-            return {m for m in self._names() if self.capable(m)}
+            said = show(name)
+            rows.append((name, strings(said.get("capabilities")), strings((said.get("details") or {}).get("families"))))
         except Exception:
-            return set()
+            rows.append((name, None, None))
+    told = spark.createDataFrame(rows, "model string, capabilities array<string>, families array<string>")
+    return {r["model"] for r in told.where(takes_images(F.col("capabilities"), F.col("families"))).collect()}
+
+
+def discovery(spark: SparkSession, names: Callable[[], Iterable[str]], show: Callable[[str], Mapping], provider: str = "ollama") -> Callable[[], Mapping[str, str]]:
+    """A discovery for ``provider_of``: the image models of a local server, asked for when they are needed, once."""
+    found: dict[str, str] = {}
+
+    def discover() -> Mapping[str, str]:
+        if not found:
+            found.update(dict.fromkeys(vision_models(spark, names, show), provider))
+        return found
+
+    return discover

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.config import workers_for
 from pagemill.functions import scoring
 from pagemill.functions.text import strip_blanks, strip_fences, strip_page_label
-from pagemill.operators import backends, collect, figures, prompts, registry, routing
+from pagemill.operators import backends, collect, figures, holding, prompts, registry, routing
 from pagemill.sources.pdf import LARGEST_UPLOAD, is_pdf
 
 #: Ground-truth items that are sent to every task at most.
@@ -111,11 +112,11 @@ _FENCED = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '```markdown' || chr(1
 
 
 @query(
-    f"SELECT doc_id, regexp_replace({_FENCED}, '```(?:markdown)?\\n(.*?)\\n```', '\\1', 'gs') AS markdown FROM documents WHERE text IS NOT NULL"
+    f"SELECT doc_id, regexp_replace({_FENCED}, '```(?:markdown)?\\n(.*?)\\n```', '\\1', 'gs') AS markdown FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 )
 def q03_fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.expr(_FENCED.replace("chr(10)", "'\\n'"))
-    docs = read(spark, sf_dir, "documents").where("text is not null")
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", strip_fences(reply).alias("markdown"))
 
 
@@ -220,13 +221,18 @@ def similarity_sql(a: str, b: str) -> str:
 
 
 @query(
-    f"""SELECT d.doc_id, b.item_id, round({similarity_sql('b.text', 'd.text')}, 6) AS similarity
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"""
+    f"""WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark)
+SELECT d.doc_id, b.item_id, round({similarity_sql('b.text', "coalesce(d.text, '')")}, 6) AS similarity
+  FROM documents d JOIN b ON b.place = (d.doc_id % n + n) % n"""
 )
 def q10_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
-    pairs = read(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(truth, "item_id")
-    return pairs.select("doc_id", "item_id", F.round(scoring.edit_similarity(F.col("truth"), F.col("text")), 6).alias("similarity"))
+    """Each document against an item of the whole ground truth: the one whose place is its id's remainder."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
+    n = items.count()
+    placed = items.withColumn("place", (F.row_number().over(W.orderBy("item_id")) - 1).cast("long"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("cand"), F.pmod("doc_id", F.lit(n)).alias("place"))
+    pairs = docs.join(F.broadcast(placed) if n <= MOST_SENT else placed, "place")
+    return pairs.select("doc_id", "item_id", F.round(scoring.edit_similarity(F.col("truth"), F.col("cand")), 6).alias("similarity"))
 
 
 def bleu_sql(pairs: str, keys: str) -> str:
@@ -249,10 +255,8 @@ def bleu_sql(pairs: str, keys: str) -> str:
 )
 def q11_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
-    # a stated set of ground-truth items against all documents: sent to each task while it is small, else in blocks
-    items = F.broadcast(truth) if truth.count() <= MOST_SENT else truth
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cand"))
-    pairs = docs.join(items, F.contains("cand", "truth"))
+    pairs = holding.holders(docs, truth, "cand", "truth")
     out = scoring.bleu(pairs, ["doc_id", "item_id"], "truth", "cand")
     return out.select("doc_id", "item_id", F.round("bleu", 6).alias("bleu"))
 
@@ -300,7 +304,7 @@ FROM documents LEFT JOIN s ON s.model = source LEFT JOIN d ON d.model = source""
 )
 def q13_registry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"))
-    return registry.resolve(asked, registry.as_table(spark, _STATIC), registry.as_table(spark, _DYNAMIC))
+    return registry.resolve(asked, _STATIC, _DYNAMIC)
 
 
 @query(
@@ -352,7 +356,7 @@ def q16_figure_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_RANKED}, n AS (SELECT doc_id, 'image_' || (page_number + 1) || '_' || idx || '.png' AS name, page_number, idx FROM k),
   f AS (SELECT doc_id, string_agg(chr(10) || chr(10) || '![' || name || '](' || name || ')', '' ORDER BY page_number, idx) AS links FROM n GROUP BY doc_id)
-SELECT d.doc_id, d.text || coalesce(links, '') AS markdown FROM documents d LEFT JOIN f USING (doc_id) WHERE d.text IS NOT NULL"""
+SELECT d.doc_id, coalesce(d.text, '') || coalesce(links, '') AS markdown FROM documents d LEFT JOIN f USING (doc_id)"""
 )
 def q17_figure_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = ranked_regions(spark, sf_dir).select(
@@ -361,7 +365,7 @@ def q17_figure_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_doc = named.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("page_number", "idx", "figure"))), lambda x: x["figure"]).alias("figures")
     )
-    docs = read(spark, sf_dir, "documents").where("text is not null").join(of_doc, "doc_id", "left")
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).join(of_doc, "doc_id", "left")
     return docs.select("doc_id", figures.append_figures(F.col("text"), F.col("figures")).alias("markdown"))
 
 

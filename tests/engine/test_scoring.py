@@ -48,4 +48,27 @@ def test_report(spark):
     rows = scoring.by_parser(runs).orderBy("parser").collect()
     assert rows[0]["accuracy_scores"] == [0.25, 0.5] and rows[0]["num_runs"] == 2
     text = scoring.report(rows, "today")
-    assert "| p | 0.38 |" in text and "- Individual accuracy scores: 0.25, 0.50" in text and text.index("### p") < text.index("### q")
+    assert "| 1 | p | 0.38 |" in text and "| 2 | 0.50 |" in text and text.index("Runs of p") < text.index("Runs of q")
+
+
+def test_results_of_pages_are_one_text(spark):
+    df = spark.createDataFrame([(["a", None, "b"],), ([],), (None,)], "pages array<string>")
+    assert [r[0] for r in df.select(scoring.result_text(df["pages"])).collect()] == ["a\n\nb", "", ""]
+
+
+def test_scores_take_one_scan_and_no_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d", None)], "i int, t string, c string").write.parquet(str(tmp_path / "p"))
+    plan = scoring.accuracy(spark.read.parquet(str(tmp_path / "p")), ["i"], "t", "c")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_holders_equal_brute_force(spark, tmp_path):
+    from pagemill.operators import holding
+
+    texts = ["one two three four five six seven eight nine", "xone two three  four fivey", "", None, "aab", "three four five six seven\neight nine ten", "a b c"]
+    items = ["two three four five six seven eight", "one two three  four five", "a", "", None, "b c", "three four five", "e two thr", "seven\neight nine", "one two three four five six seven eight nine"]
+    spark.createDataFrame(list(enumerate(texts)), "i int, t string").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame(list(enumerate(items)), "j int, x string").write.parquet(str(tmp_path / "x"))
+    got = holding.holders(spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "x")), "t", "x").collect()
+    want = [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t]
+    assert sorted((r["i"], r["j"]) for r in got) == want
