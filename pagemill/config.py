@@ -47,7 +47,10 @@ def workers_for(cards: int, apple: bool, cores: int) -> tuple[str, int]:
 
 
 def local_server_env(device: str, workers: int, concurrent: bool, given: dict[str, Any] | None = None) -> dict[str, str]:
-    """Settings of a local model server; every value is a default that ``given`` overrides."""
+    """Settings of a local model server; every value is a default that ``given`` overrides.
+
+    Fixed values: the names, which the server reads, and the defaults.
+    """
     out: dict[str, Any] = {"OLLAMA_KEEP_ALIVE": -1}
     if concurrent:
         if device == "cuda":
@@ -66,7 +69,8 @@ class Options:
     ``image_mode``: None, "url" (figures by file name) or "base64" (data URIs).
     ``fallback_scope``: "page", or "document" to use the simple prompt from a
     document's first failed analysis on. ``mode``: "FAILFAST", or "PERMISSIVE"
-    to keep failed pages with their error.
+    to keep failed pages with their error. ``figures_dir``: where figure files
+    go in "url" mode; links are relative to it.
     """
 
     model_name: str = DEFAULT_MODEL
@@ -85,6 +89,7 @@ class Options:
     page_config: PageConfig = field(default_factory=PageConfig)
     fallback_scope: str = "page"
     mode: str = "FAILFAST"
+    figures_dir: str | None = None
     model_kwargs: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:

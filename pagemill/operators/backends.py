@@ -17,6 +17,7 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagemill.config import device_config, local_server_env
 from pagemill.errors import ModelCallError
 from pagemill.operators.prompts import ANALYSIS
 from pagemill.schema import ANALYSIS_FIELDS, FLAGS
@@ -56,14 +57,15 @@ def with_retries(call: Callable[[], str], provider: str, sleep: Callable[[float]
 
 def answers(
     rows: DataFrame, backend: Backend, into: str, prompt: str | None = None, structured: bool = False, mode: str = "FAILFAST",
-    image: str | None = None, concurrent: int = 1, sleep: Callable[[float], None] = time.sleep,
+    image: str | None = None, concurrent: int = 1, sleep: Callable[[float], None] = time.sleep, unless: str | None = None,
 ) -> DataFrame:
     """``rows`` with the backend's answer, and ``into``_error in PERMISSIVE mode. One call for each row.
 
     ``prompt`` names a column; without it the analysis prompt is asked. Calls
     of a batch run in ``concurrent`` threads; a failing call is tried again by
-    itself, not with its whole partition. Filter before this: Spark pushes no
-    filter through it.
+    itself, not with its whole partition. Rows in which the column ``unless``
+    isn't null aren't asked. Filter before this: Spark pushes no filter
+    through it.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -71,12 +73,15 @@ def answers(
         client = None
         with ThreadPoolExecutor(max(1, concurrent)) as pool:
             for batch in batches:
-                client = backend.client() if client is None else client
+                skipped = batch[unless].notna() if unless else [False] * len(batch)
+                client = backend.client() if client is None and not all(skipped) else client
                 asked = batch[prompt] if prompt else [ANALYSIS] * len(batch)
                 pngs = batch[image] if image else [None] * len(batch)
 
                 def one(args: tuple) -> tuple[str | None, str | None]:
-                    png, text = args
+                    png, text, skip = args
+                    if skip:
+                        return None, None
                     try:
                         return with_retries(lambda: backend.call(client, png, text, structured), backend.provider, sleep), None
                     except ModelCallError as error:
@@ -84,7 +89,7 @@ def answers(
                             raise
                         return None, str(error)
 
-                found = list(pool.map(one, zip(pngs, asked)))
+                found = list(pool.map(one, zip(pngs, asked, skipped)))
                 batch = batch.copy()
                 batch[into] = [a for a, _ in found]
                 batch[f"{into}_error"] = [e for _, e in found]
@@ -127,16 +132,21 @@ class LocalServer:
     top_p: float = 0.7
     extra: dict[str, Any] = field(default_factory=dict)
     provider: str = "ollama"
+    #: Settings of the server, for one that is started from this process.
+    environment: dict[str, str] = field(default_factory=dict)
 
     def client(self) -> Any:
         try:
             import ollama
         except ImportError as error:
             raise _missing("ollama", error) from error
-        return ollama.Client(host=self.config.get("OLLAMA_HOST"), timeout=float(self.config.get("OLLAMA_REQUEST_TIMEOUT", TIMEOUT)))
+        timeout = float(self.config.get("OLLAMA_REQUEST_TIMEOUT", TIMEOUT))
+        return ollama.Client(host=self.config.get("OLLAMA_HOST", "http://localhost:11434"), timeout=timeout, trust_env=False)
 
-    def prepare(self, client: Any) -> None:
-        """Driver set-up: the model is pulled if the server hasn't got it; any other error is raised."""
+    def prepare(self, client: Any = None) -> None:
+        """Driver set-up: settings, and the model is pulled if the server hasn't got it; any other error is raised."""
+        os.environ.update(self.environment)
+        client = self.client() if client is None else client
         try:
             client.show(self.model)
         except Exception as error:
@@ -160,7 +170,8 @@ class LocalServer:
 
 @dataclass
 class OpenAI:
-    """OpenAI, or Azure if the options name an endpoint. The deployment then stands for the model."""
+    """OpenAI, or Azure if the options or the environment name its endpoint, or the options its key: it
+    needs both. The deployment then stands for the model."""
 
     model: str
     api_key: str | None = None
@@ -175,28 +186,31 @@ class OpenAI:
 
     @property
     def azure(self) -> bool:
-        return bool(self._setting("AZURE_ENDPOINT_URL"))
+        return bool(self._setting("AZURE_ENDPOINT_URL") or self.config.get("AZURE_OPENAI_API_KEY"))
+
+    def check(self) -> None:
+        """An error if Azure is asked for without its endpoint or key."""
+        if self.azure and not (self._setting("AZURE_ENDPOINT_URL") and self._setting("AZURE_OPENAI_API_KEY")):
+            raise ModelCallError(f"{self.provider}: Azure needs AZURE_ENDPOINT_URL and AZURE_OPENAI_API_KEY")
 
     @property
     def served(self) -> str:
         return self._setting("AZURE_DEPLOYMENT_NAME", self.model) if self.azure else self.model
 
     def client(self) -> Any:
+        self.check()
         try:
             import openai
         except ImportError as error:
             raise _missing("openai", error) from error
+        held = {"max_retries": int(self._setting("OPENAI_MAX_RETRIES", SDK_RETRIES)), "timeout": float(self._setting("OPENAI_TIMEOUT", TIMEOUT))}
+        headers = self._setting("OPENAI_DEFAULT_HEADERS")
         if self.azure:
-            key = self._setting("AZURE_OPENAI_API_KEY")
-            if not key:
-                raise ModelCallError(f"{self.provider}: Azure needs an endpoint and a key")
             return openai.AzureOpenAI(
-                azure_endpoint=self._setting("AZURE_ENDPOINT_URL"), api_key=key, api_version=self._setting("AZURE_OPENAI_API_VERSION", "2024-08-01-preview")
-            )
-        return openai.OpenAI(
-            api_key=self.api_key, base_url=self._setting("OPENAI_BASE_URL"), max_retries=int(self._setting("OPENAI_MAX_RETRIES", SDK_RETRIES)),
-            timeout=float(self._setting("OPENAI_TIMEOUT", TIMEOUT)), default_headers=self._setting("OPENAI_DEFAULT_HEADERS"),
-        )
+                azure_endpoint=self._setting("AZURE_ENDPOINT_URL"), api_key=self._setting("AZURE_OPENAI_API_KEY"),
+                api_version=self._setting("AZURE_OPENAI_API_VERSION", "2024-08-01-preview"), default_headers=headers, **held,
+            )
+        return openai.OpenAI(api_key=self.api_key, base_url=self._setting("OPENAI_BASE_URL"), default_headers=headers, **held)
 
     def request(self, png: bytes | None, prompt: str, structured: bool) -> dict[str, Any]:
         content: list[dict] = [{"type": "text", "text": prompt}]
@@ -244,7 +258,11 @@ def backend_for(provider: str, options) -> Backend | None:
     """The backend of a provider, or None for one that isn't known."""
     common = {"temperature": options.temperature, "top_p": options.top_p, "extra": dict(options.model_kwargs)}
     if provider == "ollama":
-        return LocalServer(options.model_name, dict(options.ollama_config or {}), **common)
+        config = dict(options.ollama_config or {})
+        device, workers = device_config()
+        told = {k: v for k, v in config.items() if k not in ("OLLAMA_HOST", "OLLAMA_REQUEST_TIMEOUT")}
+        environment = local_server_env(device, options.num_workers or workers, options.enable_concurrency, told)
+        return LocalServer(options.model_name, config, environment=environment, **common)
     if provider == "openai":
         return OpenAI(options.model_name, options.api_key, dict(options.openai_config or {}), **common)
     if provider == "gemini":

@@ -55,21 +55,27 @@ def as_struct(name: Column, png: Column, image_mode: str) -> Column:
 
 
 def append_figures(markdown: Column, figures: Column) -> Column:
-    """A blank line and an image link for each figure; the text as it is without any."""
+    """A blank line and an image link for each figure, by its file's name; the text as it is without any."""
     target = lambda f: F.coalesce(F.concat(F.lit("data:image/png;base64,"), f["base64_encoded"]), f["image_url"])
-    links = F.transform(figures, lambda f: F.concat(F.lit("\n\n!["), f["image_url"], F.lit("]("), target(f), F.lit(")")))
+    name = lambda f: F.element_at(F.split(f["image_url"], "/"), -1)
+    links = F.transform(figures, lambda f: F.concat(F.lit("\n\n!["), name(f), F.lit("]("), target(f), F.lit(")")))
     return F.concat(markdown, F.coalesce(F.array_join(links, ""), F.lit("")))
 
 
-def page_figures(regions: Column, page_number: Column, image_mode: str) -> Column:
-    """The figures of one page from its array of candidate regions: gated, ranked and named inside the row."""
+def ranked_pngs(regions: Column) -> Column:
+    """The pictures of the regions of one page that are figures, largest first."""
     kept = F.filter(
         regions,
         lambda r: big_enough(r["w"], r["h"], r["page_w"], r["page_h"])
         & looks_like_figure(r["std"], r["mean"], r["area"], r["w"], r["h"], r["lapvar"]),
     )
     ranked = F.array_sort(F.transform(kept, lambda r: F.struct((-r["area"]).alias("a"), r["y"].alias("y"), r["x"].alias("x"), r["png"].alias("png"))))
-    return F.transform(ranked, lambda r, i: as_struct(figure_name(page_number, i + 1), r["png"], image_mode))
+    return F.transform(ranked, lambda r: r["png"])
+
+
+def page_figures(regions: Column, page_number: Column, image_mode: str) -> Column:
+    """The figures of one page from its array of candidate regions: gated, ranked and named inside the row."""
+    return F.transform(ranked_pngs(regions), lambda png, i: as_struct(figure_name(page_number, i + 1), png, image_mode))
 
 
 def png_of(pixels: np.ndarray) -> bytes:

@@ -17,15 +17,14 @@ from pagemill.functions.text import strip_fences
 from pagemill.operators.prompts import CONFIDENT, markdown_prompt, simple_prompt
 from pagemill.schema import FLAGS, RAW_ANALYSIS
 
-BLANK, DIRECT, TAILORED, FALLBACK, SIMPLE = "blank", "direct", "tailored", "fallback", "simple"
+BLANK, DIRECT, TAILORED, FALLBACK, SIMPLE, FAILED = "blank", "direct", "tailored", "fallback", "simple", "failed"
 #: The provider whose confident analyses spare the second call.
 SHORTCUT_PROVIDER = "ollama"
 
 
 def parse_analysis(reply: Column) -> Column:
-    """The analysis of a JSON reply as a struct of strings; fields it hasn't are null."""
-    return F.from_json(reply, RAW_ANALYSIS)
-
+    """The analysis of a JSON reply, fenced or not, as a struct of strings; fields it hasn't are null."""
+    return F.from_json(strip_fences(reply), RAW_ANALYSIS)
 
 
 def is_valid(analysis: Column) -> Column:
@@ -57,7 +56,7 @@ def wants_figures(analysis: Column, image_mode: str | None) -> Column:
 
 def model_calls(route_of: Column) -> Column:
     """Calls that a page takes by its route, the analysis included."""
-    return F.when(route_of.isin(BLANK, DIRECT), 1).when(route_of == SIMPLE, 1).otherwise(2)
+    return F.when(route_of == FAILED, 0).when(route_of.isin(BLANK, DIRECT, SIMPLE), 1).otherwise(2)
 
 
 def sticky_failures(failed: Column, document: str, page: str) -> Column:
@@ -70,13 +69,22 @@ def with_routes(
     pages: DataFrame, provider: str, image_mode: str | None = None, detailed: bool = True, custom_prompt: str | None = None,
     fallback_scope: str = "page", document: str = "doc_id", page: str = "page_number",
 ) -> DataFrame:
-    """``pages`` with a ``reply`` of the analysis gets analysis, route and prompt (null where no second call is made)."""
+    """``pages`` with a ``reply`` of the analysis gets analysis, route and prompt (null where no second call is made).
+
+    A page with an ``error`` has failed before any call. One with a
+    ``figure_error`` falls back if its figures are wanted.
+    """
     df = pages.withColumn("analysis", parse_analysis(F.col("reply")))
     df = df.withColumn("valid", is_valid(F.col("analysis")))
     if fallback_scope == "document":
         df = df.withColumn("valid", ~sticky_failures(~F.col("valid"), document, page))
     a = F.col("analysis")
-    df = df.withColumn("route", route(a, F.col("valid"), provider, image_mode, detailed))
+    way = route(a, F.col("valid"), provider, image_mode, detailed)
+    if detailed and "figure_error" in pages.columns:
+        way = F.when((way == TAILORED) & wants_figures(a, image_mode) & F.col("figure_error").isNotNull(), FALLBACK).otherwise(way)
+    if "error" in pages.columns:
+        way = F.when(F.col("error").isNotNull(), FAILED).otherwise(way)
+    df = df.withColumn("route", way)
     tailored = markdown_prompt(
         a["extracted_text"], a["tables_detected"], a["latex_equations_detected"], a["confidence_score_text"].try_cast("double"), custom_prompt
     )
@@ -88,11 +96,11 @@ def converted(routed: DataFrame, describe: Callable[[DataFrame], DataFrame]) ->
     """``routed`` with ``markdown``. ``describe`` gets the rows that need a second call, and only
     those, and adds ``answer`` to them. Materialise ``routed`` first: each branch
     works it out anew, and filters that are pushed down parse the reply for each field."""
-    blank = routed.where(F.col("route") == BLANK).withColumn("markdown", F.lit(""))
-    direct = routed.where(F.col("route") == DIRECT).withColumn("markdown", F.col("analysis")["extracted_text"])
+    said = F.when(F.col("route") == BLANK, "").when(F.col("route") == DIRECT, F.col("analysis")["extracted_text"])
+    settled = routed.where(F.col("route").isin(BLANK, DIRECT, FAILED)).withColumn("markdown", said)
     asked = describe(routed.where(F.col("route").isin(TAILORED, FALLBACK, SIMPLE)))
     asked = asked.withColumn("markdown", strip_fences(F.col("answer"))).drop("answer")
-    return blank.unionByName(direct).unionByName(asked)
+    return settled.unionByName(asked)
 
 
 def converted_inline(routed: DataFrame, answer: Column) -> DataFrame:

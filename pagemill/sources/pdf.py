@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagemill.config import PageConfig
-from pagemill.errors import UnsupportedFileError
+from pagemill.errors import ConversionError, UnsupportedFileError
 from pagemill.operators.figures import png_of, regions
 from pagemill.schema import PAGE, REGION
 
@@ -85,36 +85,48 @@ def read_files(spark: SparkSession, path: str, largest: int | None = None) -> Da
     return files.select("path", "content")
 
 
-def page_rows(files: DataFrame, reader: Reader, config: PageConfig | None = None, mode: str = "FAILFAST", with_regions: bool = False) -> DataFrame:
+def page_rows(
+    files: DataFrame, reader: Reader, config: PageConfig | None = None, mode: str = "FAILFAST", with_regions: bool = False,
+    search: Callable[[Any], list[dict]] = regions,
+) -> DataFrame:
     """``files`` (path, content) as pages: doc_id, page_number from 0, png, width, height, rotation, error,
     and ``regions``, the candidates for figures, if asked for.
 
     A page is rendered and encoded in one go, so rasters never cross a stage;
     batches hold one page. In PERMISSIVE mode a page that fails has its error,
-    and a document that can't be opened is one row without a page number.
+    and a document that can't be opened is one row without a page number; in
+    FAILFAST mode a ConversionError names both. A page whose figures can't be
+    searched isn't a failure: it has ``figure_error`` instead of regions.
     """
     config = config or PageConfig()
-    schema = T.StructType([*PAGE.fields, T.StructField("regions", T.ArrayType(REGION))])
+    schema = T.StructType([*PAGE.fields, T.StructField("figure_error", T.StringType()), T.StructField("regions", T.ArrayType(REGION))])
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
         try:
             document = reader.open(content)
         except Exception as error:
             if mode == "FAILFAST":
-                raise
-            yield path, None, None, None, None, None, f"{path}: {error}", None
+                raise ConversionError(f"{path}: {error}") from error
+            yield path, None, None, None, None, None, f"{path}: {error}", None, None
             return
         try:
             for ordinal in range(reader.pages(document)):
                 try:
                     turn = reader.rotation(document, ordinal)
                     pixels = reader.render(document, ordinal, config.scale, turn if config.pass_rotation else 0, config.include_annotations)
-                    found = [tuple(r[f] for f in REGION.names) for r in regions(pixels)] if with_regions else None
-                    yield path, ordinal, png_of(pixels[:, :, :3]), pixels.shape[1], pixels.shape[0], turn, None, found
+                    found, lacking = None, None
+                    if with_regions:
+                        try:
+                            found = [tuple(r[f] for f in REGION.names) for r in search(pixels)]
+                        except Exception as error:
+                            lacking = f"{path}, page {ordinal + 1}: {error}"
+                    made = path, ordinal, png_of(pixels[:, :, :3]), pixels.shape[1], pixels.shape[0], turn, None, lacking, found
                 except Exception as error:
+                    said = f"{path}, page {ordinal + 1}: {error}"
                     if mode == "FAILFAST":
-                        raise type(error)(f"{path}, page {ordinal + 1}: {error}") from error
-                    yield path, ordinal, None, None, None, None, f"{path}, page {ordinal + 1}: {error}", None
+                        raise ConversionError(said) from error
+                    made = path, ordinal, None, None, None, None, said, None, None
+                yield made
         finally:
             try:
                 reader.close(document)
@@ -128,7 +140,7 @@ def page_rows(files: DataFrame, reader: Reader, config: PageConfig | None = None
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row[:-1])) | {"regions": _named(row[-1])}], schema=to_arrow_schema(schema))
 
     out = files.select("path", "content").mapInArrow(run, schema)
-    return out if with_regions else out.drop("regions")
+    return out if with_regions else out.drop("figure_error", "regions")
 
 
 def _named(found: list[tuple] | None) -> list[dict] | None:

@@ -107,9 +107,168 @@ def test_figures_are_appended(spark, tmp_path):
     where, log = written(tmp_path / "in", a_pdf="plain\ffigure"), tmp_path / "log"
     for mode in ("url", "base64"):
         backend = Counting(str(log), analysis(images_detected="Yes"))
-        rows = Converter(Options(detailed_extraction=True, image_mode=mode), backend, FakeReader()).convert(spark, where).orderBy("page_number").collect()
+        options = Options(detailed_extraction=True, image_mode=mode, figures_dir=str(tmp_path / "figures"))
+        rows = sorted(Converter(options, backend, FakeReader()).convert(spark, where).collect(), key=lambda r: r["page_number"])
         assert rows[0]["markdown"] == "answer"
-        assert rows[1]["markdown"].startswith("answer\n\n![image_2_1.png](" + ("image_2_1.png)" if mode == "url" else "data:image/png;base64,iVBOR"))
+        if mode == "base64":
+            assert rows[1]["markdown"].startswith("answer\n\n![image_2_1.png](data:image/png;base64,iVBOR")
+    (file,) = (tmp_path / "figures").rglob("*.png")  # written once, where the link says
+    assert file.read_bytes().startswith(b"\x89PNG")
+    url = Converter(Options(detailed_extraction=True, image_mode="url", figures_dir=str(tmp_path / "figures")), backend, FakeReader()).convert(spark, where)
+    link = f"{file.parent.name}/image_2_1.png"
+    assert [r["markdown"] for r in url.where("page_number = 1").collect()] == [f"answer\n\n![image_2_1.png]({link})"]
+
+
+def test_a_figure_that_cannot_be_written_uses_up_no_number(spark):
+    df = spark.createDataFrame([("/x/a.pdf", 4, [b"1", b"bad", b"3"]), ("/x/a.pdf", 5, None)], "doc_id string, page_number int, pngs array<binary>")
+
+    def write(name, content):
+        if content == b"bad":
+            raise OSError("full")
+
+    got = {r["page_number"]: r["figures"] for r in sinks.with_figure_files(df, "pngs", "/nowhere", write=write).collect()}
+    assert [f["image_url"].rpartition("/")[2] for f in got[4]] == ["image_5_1.png", "image_5_2.png"] and got[5] is None
+
+
+@pytest.mark.parametrize("detailed", [False, True])
+def test_failed_pages_are_kept_and_no_model_sees_them(spark, tmp_path, detailed):
+    (tmp_path / "in").mkdir()
+    where, log = written(tmp_path / "in", a_pdf="one\fbroken", b_pdf="bad"), tmp_path / "log"
+    options = Options(detailed_extraction=detailed, mode="PERMISSIVE")
+    rows = sorted(Converter(options, Counting(str(log), "no json"), FakeReader()).convert(spark, where).collect(), key=lambda r: (r["doc_id"], r["page_number"] or 0))
+    assert calls(log) == (["s", "f"] if detailed else ["f"])
+    assert [r["markdown"] for r in rows] == ["answer", None, None] and rows[0]["error"] is None
+    assert rows[1]["error"].endswith("a.pdf, page 2: no page") and rows[2]["error"].endswith("b.pdf: no document")
+    assert [r["route"] for r in rows] == ["fallback" if detailed else "simple", "failed", "failed"]
+
+
+class Refusing(Counting):
+    def call(self, client, png, prompt, structured):
+        if not structured:
+            raise TimeoutError("late")
+        return super().call(client, png, prompt, structured)
+
+
+def test_errors_of_calls_are_returned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(backends, "SHORTEST_WAIT", 0)
+    df = spark.createDataFrame([("a", 0)], "doc_id string, page_number int")
+    options = Options(detailed_extraction=True, mode="PERMISSIVE")
+    backend = Refusing(str(tmp_path / "log"), analysis(tables_detected="Yes"))
+    quick = lambda rows, *a, **k: backends_answers(rows, *a, **(k | {"sleep": no_wait}))
+    backends_answers = backends.answers
+    monkeypatch.setattr(backends, "answers", quick)
+    (row,) = Converter(options, backend).convert_pages(df).collect()
+    assert row["markdown"] is None and row["error"] == "ollama: late" and row["route"] == "tailored"
+
+
+def no_wait(seconds):
+    pass
+
+
+def test_fenced_analyses_are_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    where, log = written(tmp_path / "in", a_pdf="one"), tmp_path / "log"
+    rows = Converter(Options(detailed_extraction=True), Counting(str(log), f"```\n{analysis()}\n```"), FakeReader()).convert(spark, where).collect()
+    assert [(r["route"], r["markdown"]) for r in rows] == [("direct", "found")] and calls(log) == ["s"]
+
+
+def test_pages_whose_figures_cannot_be_searched_fall_back(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    where, log = written(tmp_path / "in", a_pdf="one\ftwo"), tmp_path / "log"
+
+    def search(pixels):
+        raise figures.FigureError("odd raster")
+
+    pages = pdf.page_rows(pdf.read_files(spark, where), FakeReader(), with_regions=True, search=search)
+    assert all(r["figure_error"].endswith("odd raster") and r["png"] and r["error"] is None for r in pages.collect())
+    options = Options(detailed_extraction=True, image_mode="base64")
+    for reply, want in ((analysis(images_detected="Yes"), "fallback"), (analysis(), "direct"), (analysis(text_detected="No", images_detected="Yes"), "blank")):
+        rows = Converter(options, Counting(str(log), reply), FakeReader()).convert_pages(pages).collect()
+        assert {r["route"] for r in rows} == {want} and all(r["error"] is None for r in rows)
+
+
+def test_azure_needs_both_settings(monkeypatch):
+    for name in ("AZURE_ENDPOINT_URL", "AZURE_OPENAI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    for config in ({"AZURE_OPENAI_API_KEY": "k"}, {"AZURE_ENDPOINT_URL": "e"}):
+        with pytest.raises(ModelCallError, match="AZURE_ENDPOINT_URL"):
+            Converter(Options(model_name="gpt-4o", openai_config=config))
+    Converter(Options(model_name="gpt-4o", openai_config={"AZURE_OPENAI_API_KEY": "k", "AZURE_ENDPOINT_URL": "e"}))
+
+
+class FakeServer:
+    """Stands for the client package of the local server."""
+
+    pulled: list = []
+
+    def __init__(self, **kwargs):
+        self.kwargs = kwargs
+
+    def list(self):
+        return {"models": [{"model": "mine"}, {"model": "blind"}]}
+
+    def show(self, name):
+        if name == "absent":
+            error = RuntimeError("not found")
+            error.status_code = 404
+            raise error
+        if name == "down":
+            raise OSError("no server")
+        return {"capabilities": ["vision"] if name == "mine" else ["completion"]}
+
+    def pull(self, name, stream):
+        FakeServer.pulled.append(name)
+        return iter([{"status": "done"}])
+
+
+def test_local_models_are_discovered_and_pulled(spark, monkeypatch):
+    import sys
+    import types
+
+    monkeypatch.setitem(sys.modules, "ollama", types.SimpleNamespace(Client=FakeServer))
+    monkeypatch.delenv("OLLAMA_KEEP_ALIVE", raising=False)
+    assert Converter(Options(model_name="mine")).backend.provider == "ollama"
+    with pytest.raises(UnsupportedModelError, match="mine"):
+        Converter(Options(model_name="blind"))
+    backend = backends.LocalServer("absent", environment={"OLLAMA_KEEP_ALIVE": "-1"})
+    converter = Converter(Options(), backend, FakeReader())
+    converter.prepare()
+    converter.prepare()
+    import os
+
+    assert FakeServer.pulled == ["absent"] and os.environ.pop("OLLAMA_KEEP_ALIVE") == "-1"
+    assert backend.client().kwargs["trust_env"] is False
+    with pytest.raises(ModelCallError, match="no server"):
+        Converter(Options(), backends.LocalServer("down"), FakeReader()).prepare()
+    options = Options(enable_concurrency=True, num_workers=4, ollama_config={"OLLAMA_HOST": "h", "OLLAMA_NUM_PARALLEL": 3})
+    made = backends.backend_for("ollama", options).environment
+    assert made["OLLAMA_NUM_PARALLEL"] == "3" and "OLLAMA_HOST" not in made
+
+
+def test_public_names():
+    import pagemill
+
+    assert all(getattr(pagemill, name) for name in pagemill.__all__) and pagemill.Converter is Converter
+    with pytest.raises(AttributeError):
+        pagemill.nothing
+
+
+def test_parsers_are_compared_and_reported(spark, tmp_path):
+    from datetime import datetime
+
+    from pagemill.plans import benchmark
+
+    class Result:
+        text_content = "one two three four\nfive"
+
+    (tmp_path / "truth.md").write_text("one two three four\nfive")
+    runs = []
+    parsers = {"z first": lambda p: runs.append(p) or ["one two three four", "five"], "a second": lambda p: Result(), "b third": lambda p: 7}
+    out = benchmark.compare(spark, parsers, "x.pdf", str(tmp_path / "truth.md"), str(tmp_path / "report.md"), runs=2, now=lambda: datetime(2025, 1, 3)).collect()
+    assert [r["parser"] for r in out] == list(parsers) and runs == ["x.pdf"] * 2
+    assert [round(r["avg_accuracy"], 3) for r in out[:2]] == [1.0, 1.0] and out[2]["avg_accuracy"] < 0.1 and out[0]["num_runs"] == 2
+    text = (tmp_path / "report.md").read_text()
+    assert "2025-01-03" in text and text.index("z first") < text.index("a second")
 
 
 def test_broken_pages(spark, tmp_path):
@@ -181,7 +340,7 @@ def test_options_and_devices():
     assert local_server_env("cpu", 4, True, {"OLLAMA_NUM_THREAD": 2}) == {"OLLAMA_KEEP_ALIVE": "-1", "OLLAMA_NUM_THREAD": "2", "OLLAMA_NUM_PARALLEL": "40"}
 
 
-def test_registry():
+def test_registry(spark):
     assert registry.provider_of("gpt-4o", lambda: {"gpt-4o": "other"}) == "openai"
     assert registry.provider_of("mine", lambda: {"mine": "ollama"}) == "ollama"
 
@@ -196,14 +355,15 @@ def test_registry():
         asked.append(name)
         return {"a": {"capabilities": ["vision"]}, "b": {"details": {"families": ["clip"]}}, "c": {"capabilities": "vision"}}[name]
 
-    known = registry.VisionModels(lambda: ["a", "b", "c", "d"], show)
-    assert known.all() == {"a", "b"} and known.all() == {"a", "b"} and asked == ["a", "b", "c", "d"]
+    discover = registry.discovery(spark, lambda: ["a", "b", "c", "d", "a"], show)
+    assert asked == [] and discover() == {"a": "ollama", "b": "ollama"} == discover() and asked == ["a", "b", "c", "d"]
+    assert registry.vision_models(spark, broken, show) == set()
 
 
 def test_figure_files_never_meet(spark, tmp_path):
-    df = spark.createDataFrame([("/x/a.pdf", 0, 1, b"1"), ("/y/a.pdf", 0, 1, b"2")], "doc_id string, page_number int, idx int, png binary")
-    out = sinks.write_figures(df, str(tmp_path)).collect()
-    assert len({r["path"] for r in out}) == 2 and all(r["error"] is None for r in out)
+    df = spark.createDataFrame([("/x/a.pdf", 0, [b"1"]), ("/y/a.pdf", 0, [b"2"])], "doc_id string, page_number int, pngs array<binary>")
+    out = sinks.with_figure_files(df, "pngs", f"file://{tmp_path}").collect()
+    assert len({r["figures"][0]["image_url"] for r in out}) == 2
     assert sorted(p.read_bytes() for p in tmp_path.rglob("*.png")) == [b"1", b"2"]
 
 
