@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.config import workers_for
+from pagemill.config import local_server_env, workers_for
 from pagemill.functions import scoring
 from pagemill.functions.text import strip_blanks, strip_fences, strip_page_label
 from pagemill.operators import backends, collect, figures, holding, prompts, registry, routing
@@ -398,19 +398,23 @@ def q19_source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
-@query(None)
+@query(
+    """SELECT item_id AS doc_id, 0 AS page_number, (30 + item_id % 40)::INTEGER AS x, (20 + item_id % 40)::INTEGER AS y, (110 + 2 * (item_id * 7 % 50))::INTEGER AS w,
+  (120 + item_id * 7 % 50)::INTEGER AS h, 360 AS page_w, 420 AS page_h, ((109 + 2 * (item_id * 7 % 50)) * (119 + item_id * 7 % 50))::DOUBLE AS area, 1 AS idx FROM benchmark"""
+)
 def q20_figure_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures found in drawn pages: one textured box whose place and size follow the page's number."""
-    drawn = spark.range(1, 25, numPartitions=4).selectExpr("id", "id * 7 % 50 as size")
+    """Figures found in drawn pages, one for each ground-truth item: a textured box whose place and size follow the item's number."""
+    cores = spark.sparkContext.defaultParallelism
+    drawn = read(spark, sf_dir, "benchmark").repartition(cores, "item_id").selectExpr("item_id as id", "item_id % 40 as place", "item_id * 7 % 50 as size")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            for key, size in zip(batch["id"], batch["size"]):
+            for key, place, size in zip(batch["id"], batch["place"], batch["size"]):
                 page = np.full((420, 360, 3), 255, np.uint8)
-                h, w, y, x = 120 + int(size), 110 + 2 * int(size), 20 + int(key), 30 + int(key)
+                h, w, y, x = 120 + int(size), 110 + 2 * int(size), 20 + int(place), 30 + int(place)
                 fade = np.linspace(40, 180, w)[None, :, None] + np.linspace(0, 30, h)[:, None, None]
                 page[y : y + h, x : x + w] = fade.astype(np.uint8)
                 found = figures.regions(page, with_png=False)
@@ -419,10 +423,22 @@ def q20_figure_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
                     yield pd.DataFrame(rows)
 
     schema = "doc_id long, page_number int, x int, y int, w int, h int, page_w int, page_h int, area double, mean double, std double, lapvar double"
-    return figures.numbered(figures.accepted(drawn.mapInPandas(run, schema)), ["doc_id", "page_number"])
+    found = figures.numbered(figures.accepted(drawn.mapInPandas(run, schema)), ["doc_id", "page_number"])
+    return found.select("doc_id", "page_number", "x", "y", "w", "h", "page_w", "page_h", "area", "idx")
+
+
+_ANSWERS = "SELECT doc_id, 'page ' || doc_id AS prompt, CASE WHEN {failed} THEN NULL ELSE 'answer to page ' || doc_id END AS answer, CASE WHEN {failed} THEN 'ollama: no answer in time' END AS answer_error FROM documents"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("prompt"))
+
 
+def _reply(png: bytes | None, prompt: str, structured: bool) -> str:
+    return f"answer to {prompt}"
 
-@query(None)
+
+@query(_ANSWERS.format(failed="doc_id % 10 = 0"))
 def q21_retry_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a backend that times out: once for every third page, three times for every tenth."""
 
@@ -430,12 +446,123 @@ def q21_retry_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = int(prompt.rpartition(" ")[2])
         return attempt <= (3 if n % 10 == 0 else 1 if n % 3 == 0 else 0)
 
-    def reply(png: bytes | None, prompt: str, structured: bool) -> str:
-        return f"answer to {prompt}"
-
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("prompt"))
-    return backends.answers(rows, backends.Scripted(reply, fails=fails), "answer", "prompt", mode="PERMISSIVE", sleep=_no_wait)
+    return backends.answers(_asked(spark, sf_dir), backends.Scripted(_reply, fails=fails), "answer", "prompt", mode="PERMISSIVE", sleep=_no_wait)
 
 
 def _no_wait(seconds: float) -> None:
     """The clock of a test: no wait."""
+
+
+@query(_ANSWERS.format(failed="false"))
+def q22_concurrent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a batch's threads ask for: each page gets its own."""
+    return backends.answers(_asked(spark, sf_dir), backends.Scripted(_reply), "answer", "prompt", mode="PERMISSIVE", concurrent=8)
+
+
+@query(
+    ROUTED_SQL
+    + """, f AS (SELECT *, doc_id % 17 = 5 AS failed, doc_id % 4 = 1 AS unsearched FROM r),
+  g AS (SELECT doc_id, text, CASE WHEN failed THEN 'failed' WHEN route = 'tailored' AND has_images AND unsearched THEN 'fallback' ELSE route END AS route FROM f)
+SELECT doc_id, route, (CASE route WHEN 'failed' THEN 0 WHEN 'blank' THEN 1 WHEN 'direct' THEN 1 ELSE 2 END)::INTEGER AS n_calls,
+  CASE route WHEN 'failed' THEN NULL WHEN 'blank' THEN '' WHEN 'direct' THEN text ELSE 'answer' END AS markdown,
+  CASE WHEN route = 'failed' THEN 'page ' || doc_id || ': no page' END AS error FROM g"""
+)
+def q23_failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that couldn't be rendered take no call and keep their error; those whose figures can't be searched fall back if figures are wanted."""
+    d = F.col("doc_id")
+    pages = analysed(read(spark, sf_dir, "documents")).withColumns(
+        {
+            "error": F.when(d % 17 == 5, F.concat(F.lit("page "), d.cast("string"), F.lit(": no page"))),
+            "figure_error": F.when(d % 4 == 1, F.lit("odd raster")),
+        }
+    )
+    routed_pages = routing.with_routes(pages, "ollama", "url").select("doc_id", "route", "error", "analysis")
+    out = routing.converted(routed_pages, lambda rows: rows.withColumn("answer", F.lit("```\nanswer\n```")))
+    return out.select("doc_id", "route", routing.model_calls(F.col("route")).alias("n_calls"), "markdown", "error")
+
+
+@query(
+    f"""SELECT doc_id, 'simple' AS route, 1::INTEGER AS n_calls, concat_ws(chr(10), {quoted(prompts.OPENING)}, {quoted(prompts.GENERIC)}, {quoted(prompts.TABLES)},
+  {quoted(prompts.RULES)}, '') AS prompt FROM documents"""
+)
+def q24_simple_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without detailed extraction every page takes the simple prompt, and one call."""
+    docs = analysed(read(spark, sf_dir, "documents"))
+    out = routing.with_routes(docs, "openai", "url", detailed=False, custom_prompt="")
+    return out.select("doc_id", "route", routing.model_calls(F.col("route")).alias("n_calls"), "prompt")
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, '```' || CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE '' END || chr(10) || {_FORM_SQL} || chr(10) || '```' AS fenced, {_FORM_SQL} AS reply FROM documents),
+j AS (SELECT doc_id, CASE WHEN json_valid(reply) THEN reply ELSE '{{}}' END AS reply FROM f)
+SELECT doc_id, coalesce("""
+    + " AND ".join(f"(reply->>'{f}') IN ('Yes', 'No')" for f in routing.FLAGS)
+    + """ AND (reply->>'extracted_text') IS NOT NULL AND try_cast(reply->>'confidence_score_text' AS DOUBLE) IS NOT NULL, false) AS valid FROM j"""
+)
+def q25_fenced_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses in fences are as good as bare ones."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_FORM_SQL.replace("\\", "\\\\")).alias("reply"))
+    tag = F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("")
+    fenced = F.concat(F.lit("```"), tag, F.lit("\n"), F.col("reply"), F.lit("\n```"))
+    return docs.select("doc_id", routing.is_valid(routing.parse_analysis(fenced)).alias("valid"))
+
+
+@query(
+    f"""WITH s(model) AS (VALUES {', '.join(f"({quoted(m)})" for m in _STATIC)}), d(model) AS (VALUES {', '.join(f"({quoted(m)})" for m in _DYNAMIC)})
+SELECT source AS model, count(*) AS n_pages FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT model FROM s) AND source NOT IN (SELECT model FROM d) GROUP BY source"""
+)
+def q26_unknown_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that neither registry knows, which a conversion would refuse, and the pages that ask for them."""
+    asked = read(spark, sf_dir, "documents").select(F.col("source").alias("model")).where("model is not null")
+    unknown = registry.resolve(asked, _STATIC, _DYNAMIC).where("provider is null")
+    return unknown.groupBy("model").agg(F.count("*").alias("n_pages"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS result FROM conversations GROUP BY conv_id")
+def q27_result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser's pages as the one text that is scored: joined by a line feed."""
+    pages = read(spark, sf_dir, "conversations")
+    out = collect.documents(pages, "conv_id", "turn", "text")
+    return out.select("conv_id", scoring.result_text(F.col("pages")).alias("result"))
+
+
+@query(
+    f"""WITH g AS ({_REGIONS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, y, x, region) AS idx FROM g WHERE {_ACCEPTED}),
+  n AS (SELECT doc_id, page_number, idx, 'image_' || (page_number + 1) || '_' || idx || '.png' AS name, 'png of ' || doc_id || '/' || region AS png FROM k)
+SELECT doc_id, page_number, idx, name AS by_url, name AS named, base64(encode(png)) AS data FROM n"""
+)
+def q28_figure_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures by name ("url"), or with their data as well ("base64")."""
+    name = figures.figure_name(F.col("page_number"), F.col("idx"))
+    png = F.encode(F.concat(F.lit("png of "), F.col("doc_id").cast("string"), F.lit("/"), F.col("region").cast("string")), "utf-8")
+    both = ranked_regions(spark, sf_dir).withColumns({"url": figures.as_struct(name, png, "url"), "base64": figures.as_struct(name, png, "base64")})
+    none = F.assert_true(F.col("url.base64_encoded").isNull())
+    return both.select("doc_id", "page_number", "idx", F.coalesce(none.cast("string"), F.col("url.image_url")).alias("by_url"), F.col("base64.image_url").alias("named"), F.col("base64.base64_encoded").alias("data"))
+
+
+@query(
+    """WITH r AS (SELECT role, min(turn) AS place, count(*) AS n FROM conversations GROUP BY role)
+SELECT place, role AS parser, 3::INTEGER AS num_runs, '0.50, 0.25, 1.00' AS scores, '0.58' AS mean FROM r"""
+)
+def q29_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsers as rows of a report: in the order in which they ran, runs in theirs, two decimals."""
+    runs = read(spark, sf_dir, "conversations").groupBy(F.col("role").alias("parser")).agg(F.min("turn").alias("place"))
+    each = runs.withColumn("r", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(x).alias("accuracy")) for i, x in ((2, 0.25), (3, 1.0), (1, 0.5))])))
+    out = scoring.by_parser(each.select("place", "parser", "r.*"), order="place")
+    two = lambda x: F.printf(F.lit("%.2f"), x)
+    return out.select("place", "parser", "num_runs", F.array_join(F.transform("accuracy_scores", two), ", ").alias("scores"), two(F.col("avg_accuracy")).alias("mean"))
+
+
+@query(
+    """WITH d AS (SELECT * FROM (VALUES ('cuda'), ('mps'), ('cpu')) AS a(device), (VALUES (2), (4), (8)) AS b(workers), (VALUES (false), (true)) AS c(concurrent)),
+  s AS (SELECT *, 'OLLAMA_KEEP_ALIVE' AS name, '-1' AS value FROM d
+    UNION ALL SELECT *, 'OLLAMA_NUM_GPU', CASE device WHEN 'cuda' THEN (workers // 2)::VARCHAR ELSE '1' END FROM d WHERE concurrent AND device <> 'cpu'
+    UNION ALL SELECT *, 'OLLAMA_NUM_PARALLEL', (workers * CASE device WHEN 'cpu' THEN 10 ELSE 8 END)::VARCHAR FROM d WHERE concurrent
+    UNION ALL SELECT *, 'OLLAMA_GPU_LAYERS', 'all' FROM d WHERE concurrent AND device = 'cuda'
+    UNION ALL SELECT *, 'OLLAMA_NUM_THREAD', workers::VARCHAR FROM d WHERE concurrent AND device <> 'cuda')
+SELECT device, workers::BIGINT AS workers, concurrent, name, value FROM s"""
+)
+def q30_server_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings of a local model server by device, workers and concurrency."""
+    rows = [(d, w, c, n, v) for d in ("cuda", "mps", "cpu") for w in (2, 4, 8) for c in (False, True) for n, v in local_server_env(d, w, c).items()]
+    return spark.createDataFrame(rows, "device string, workers long, concurrent boolean, name string, value string")
