@@ -3,24 +3,28 @@
 Each page's containers are scored by the text they hold less their links. The
 best ones vote with the path of tags and generalised classes that leads to
 them, votes are summed by host in Spark, and each page is then extracted again
-at the winning path of its host; a page that has no such container falls back
-to its own best one. What is never article text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, styles) is left out by
-tag, role and class either way.
+at the winning path of its host; a page that has no such container, or holds
+little of its text there, falls back to its own best one.
+
+What is never article text (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles) is left out by tag and role. A class
+or id is only taken at its word if all of it speaks of such parts ("share
+buttons"); where it may mean something else ("related-work", "legal"), the
+element's text decides: prose with few links stays.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut, small_batches
+from pagemill.llm.common import cut, looked_up, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag.
@@ -59,10 +63,24 @@ BOILERPLATE = frozenset(
     "replies discussion pagination pager paging search searchform searchbox widget widgets tags tagcloud skip hidden "
     "copyright legal disclaimer paywall teaser outbrain taboola form".split()
 )
-#: Those that say so however much text there is.
-NEVER = frozenset(
-    "comment comments commentlist disqus respond reply replies discussion ad ads advert advertisement cookie cookies consent".split()
+#: Those that say so whatever stands beside them and however much text there is.
+NEVER = frozenset("comment comments commentlist disqus advert advertisement advertising cookie cookies".split())
+#: Those that are names of a topic as well: never taken at their word.
+TOPICS = frozenset(
+    "related recommended recommendations trending popular legal disclaimer form widget widgets notice notices alert notification "
+    "copyright discussion reply replies respond register search tags rail promotion navigation consent subscription hidden teaser".split()
 )
+#: Heads of an article are part of it.
+HEADS = frozenset("header head".split())
+#: Words that say nothing of the kind of an element.
+FILLERS = frozenset(
+    "area bar block box button buttons card cards center col column container content data entry fixed global group heading holder icon "
+    "icons inner item items js left link links list listing main medium mobile module modules outer page panel post posts article articles "
+    "story stories primary reader readers right row secondary section site slot small sticky tag text thread title top bottom unit user "
+    "users view wrap wrapper zone has is with the a of and id large desktop side body cta".split()
+)
+#: Text with less of it in links, of at least so many characters and sentences, is prose.
+LINKED, PROSE, SENTENCES = 0.3, 80, 1
 #: Words that say the contrary.
 ARTICLE = frozenset("article post content main body entry story text maincontent articlebody".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -71,9 +89,12 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…。！？](?:[\"'”’»)\]]*)(?:\s|$)")
 CANDIDATES = frozenset("article main section div td body blockquote".split())
-#: Containers of a page that vote, at most.
-VOTES = 3
+#: Containers vote if their score is at least this part of the page's best one's.
+VOTES_FROM = 1 / 3
+#: A page's text at the host's path counts if it is at least this part of the text of the page's own best container.
+SHARE_AT_PATH = 0.1
 
 
 @dataclass
@@ -96,13 +117,48 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _names(node: Node) -> set[str]:
+def _tokens(node: Node) -> list[set[str]]:
+    """The words of each class, and of the id."""
     said = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    return set(_WORD.findall(_CAMEL.sub("-", said).lower())) if said != " " else set()
+    return [set(_WORD.findall(_CAMEL.sub("-", t).lower())) for t in said.split()]
+
+
+def _names(node: Node) -> set[str]:
+    return set().union(*_tokens(node)) if node.attributes else set()
+
+
+#: What a class or id says of an element: nothing; a topic among other words; something that may be meant otherwise; boilerplate.
+NOTHING, TOPIC, PERHAPS, OTHER = range(4)
+
 
+def _said_to_be_other(node: Node, in_article: bool) -> int:
+    found = NOTHING
+    for words in _tokens(node):
+        of = words & BOILERPLATE
+        if in_article or words & ARTICLE:
+            of = of - HEADS
+        pure = words <= BOILERPLATE | FILLERS
+        if of & NEVER or (of - TOPICS and pure):
+            return OTHER
+        found = max(found, (PERHAPS if pure or of - TOPICS else TOPIC) if of else NOTHING)
+    return found
+
+
+@dataclass
+class Held:
+    """What an element's text is like: its characters, those in links, and ends of sentences."""
 
-def _left_out(node: Node, in_article: bool, share: float) -> bool:
-    """Whether an element, with its share of the page's text, is never part of the article."""
+    chars: int = 0
+    linked: int = 0
+    sentences: int = 0
+
+    @property
+    def prose(self) -> bool:
+        return self.chars >= PROSE and self.sentences >= SENTENCES and self.linked < LINKED * self.chars
+
+
+def _left_out(node: Node, in_article: bool, root: Node, text_of: Callable[[Node], Held]) -> bool:
+    """Whether an element is never part of the article; what its text is like is only asked for where that matters."""
     if node.tag in NOT_TEXT:
         return True
     if node.tag == "header":
@@ -114,11 +170,18 @@ def _left_out(node: Node, in_article: bool, share: float) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
-    said = _names(node) & BOILERPLATE
-    if not said or node.tag in ("article", "main"):
+    if node.tag in ("article", "main"):
+        return False
+    said = _said_to_be_other(node, in_article)
+    if said == NOTHING:
         return False
+    if said == TOPIC:
+        return text_of(node).linked >= LINKED * max(1, text_of(node).chars)
+    if said == PERHAPS:
+        return not text_of(node).prose
     # a wrapper may be called after what it stands beside ("content has-sidebar"): one that holds most of the page stays
-    return bool(said & NEVER) or not (_names(node) & ARTICLE and share > 0.5)
+    names = _names(node)
+    return bool(names & NEVER) or not (names & ARTICLE and text_of(node).chars > 0.5 * text_of(root).chars)
 
 
 class _Tree:
@@ -214,24 +277,45 @@ def parse(page: str) -> Node:
     return tree.root
 
 
-def _skip(root: Node) -> None:
+def _texts(root: Node) -> dict[int, Held]:
+    """What the text of each element is like, comments left out."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if c.tag and c.tag not in NOT_TEXT)
-    held: dict[int, int] = {}
+    held: dict[int, Held] = {}
     for node in reversed(order):
-        never = node.attributes and node.tag not in ("html", "body") and _names(node) & NEVER
-        held[id(node)] = 0 if never else sum(held.get(id(c), 0) if c.tag else len(c.text) for c in node.children)
-    whole = max(1, held[id(root)])
+        of = held[id(node)] = Held()
+        if node.attributes and node.tag not in ("html", "body") and _names(node) & NEVER:
+            continue
+        for c in node.children:
+            if c.tag:
+                below = held.get(id(c), Held())
+                of.chars, of.linked, of.sentences = of.chars + below.chars, of.linked + below.linked, of.sentences + below.sentences
+            else:
+                text = c.text.strip()
+                of.chars, of.sentences = of.chars + len(text), of.sentences + len(_SENTENCE.findall(text))
+        if node.tag == "a":
+            of.linked = of.chars
+    return held
+
+
+def _skip(root: Node) -> None:
+    held: dict[int, Held] = {}
+
+    def text_of(node: Node) -> Held:
+        if not held:  # for the first element that calls for it
+            held.update(_texts(root))
+        return held[id(node)]
+
     waiting = [(root, False)]
     while waiting:
         node, inside = waiting.pop()
         inside = inside or node.tag in ("article", "main")
         for child in node.children:
             if child.tag:
-                child.skipped = _left_out(child, inside, held.get(id(child), 0) / whole)
+                child.skipped = _left_out(child, inside, root, text_of)
                 if not child.skipped:
                     waiting.append((child, inside))
 
@@ -301,21 +385,23 @@ def scored(root: Node) -> list[tuple[float, Node]]:
             total *= -0.25
         own[id(node)] = total
         if node.tag in CANDIDATES and total > 0:
-            bonus = 1.5 if node.tag in ("article", "main") or _names(node) & ARTICLE else 1.0
+            names = _names(node)
+            bonus = 1.5 if node.tag in ("article", "main") or (names & ARTICLE and not names & BOILERPLATE) else 1.0
             found.append((total * bonus, node))
     found.sort(key=lambda x: -x[0])
     return found
 
 
 def votes(page: str | None) -> list[tuple[str, float]]:
-    """(path, share of the page's votes) of its best containers."""
-    best = scored(parse(page or ""))[:VOTES]
+    """(path, share of the page's votes) of its best container and of those that score nearly as well."""
+    best = scored(parse(page or ""))
+    best = [(s, n) for s, n in best if s >= VOTES_FROM * best[0][0]]
     total = sum(s for s, _ in best)
     return [(path(n), s / total) for s, n in best]
 
 
 def extract(page: str | None, winner: str | None) -> tuple[str, bool]:
-    """(the page's text at the winning path, whether it has that path)."""
+    """(the page's text, whether it was found at the winning path)."""
     root = parse(page or "")
     at: list[Node] = []
     if winner is not None:
@@ -329,10 +415,24 @@ def extract(page: str | None, winner: str | None) -> tuple[str, bool]:
             below = (c for c in reversed(node.children) if c.tag and not c.skipped)
             stack.extend((c, depth + 1) for c in below if step(c) == steps[depth])
     text = "\n".join(t for node in at for t in blocks(node))
-    if text:
+    # a page of another template may have some small block at the path
+    if text and len(text) >= SHARE_AT_PATH * _chars(root):
         return text, True
     best = scored(root)[:1]
-    return "\n".join(blocks(best[0][1] if best else root)), False
+    own = "\n".join(blocks(best[0][1] if best else root))
+    return (text, True) if text and len(text) >= SHARE_AT_PATH * len(own) else (own, False)
+
+
+def _chars(root: Node) -> int:
+    """Characters of all that isn't left out, markup and entities apart."""
+    n, stack = 0, [root]
+    while stack:
+        for c in stack.pop().children:
+            if not c.tag:
+                n += len(c.text)
+            elif not c.skipped:
+                stack.append(c)
+    return n
 
 
 def host_of(url) -> F.Column:
@@ -341,7 +441,8 @@ def host_of(url) -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, share): the path with most votes of each host's pages; ties to the smaller path.
+    """(host, winner, pages): the path with most votes of each host's pages, ties to the smaller
+    path, and how many pages the host has; null for the path if no page has a container.
 
     A page's votes are divided among its containers, and summed by host and
     path before they are shuffled, so a host with very many pages is no more
@@ -351,29 +452,35 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches([whole], "html"):
-                out = [(h, p, s) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for p, s in votes(page)]
-                columns = zip(*out) if out else ([], [], [])
-                kinds = (pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "path", "share"])
-
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double")
-    rounded = cast.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"))
-    least = F.struct(-F.col("votes"), F.col("path"))
-    return rounded.groupBy("host").agg(F.min_by("path", least).alias("winner"), F.max("votes").alias("votes"))
-
-
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+                out = []
+                for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                    out.append((host, None, None, 1))
+                    out += [(host, p, s, 0) for p, s in votes(page)]
+                kinds = (pa.string(), pa.string(), pa.float64(), pa.int64())
+                names = ["host", "path", "share", "pages"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double, pages long")
+    votes_of = F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes")
+    summed = cast.groupBy("host", "path").agg(votes_of, F.sum("pages").alias("pages"))
+    least = F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), F.col("path")))
+    return summed.groupBy("host").agg(F.min_by("path", least).alias("winner"), F.sum("pages").alias("pages"))
+
+
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", small: bool | None = None) -> DataFrame:
     """(page_id, url, text, n_chars, at_host_path) of each page.
 
     Blocks are joined by a line feed, white space inside a block is one space,
     character references are decoded. Null and empty html give an empty text;
-    null urls share a host of their own. Repeated rows are returned each; no
-    rows give none. Other columns are ignored.
+    null urls share a host of their own. Pages of any length are taken whole.
+    Repeated rows are returned each; ties of votes go to the smaller path; no
+    rows give none. Other columns are ignored, whatever their names. Html
+    stays where it is while the hosts prove few (see ``looked_up``).
     """
     given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    winners = cut(winning_paths(given).select("host", "winner"))
-    named = given.withColumn("at", host_of(F.col("url")))
-    joined = named.join(winners, named["at"] == winners["host"], "left").select("page_id", "url", "html", "winner")
+    winners = cut(winning_paths(given))
+    named = given.withColumn("host", host_of(F.col("url")))
+    joined = looked_up(named, winners, "host", "pages", small).select("page_id", "url", "html", "winner")
     kind = pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,57 @@ def test_extract(body, want):
     assert got == want or (want == "quoted\nbroken" and got.startswith(want))
 
 
+@pytest.mark.parametrize("name", ["related-work", "form-factor", "widget-guide", "legal", "hidden-costs", "ad-hoc", "share-of-voice", "post-header"])
+def test_sections_of_an_article_stay(name):
+    said = "This part tells of its topic in whole sentences. It holds no more than a word or two in links, if any."
+    body = f'<article><h1>T</h1><p>First.</p><section class="{name}"><p>{said}</p></section><p>Last.</p></article>'
+    assert text_of(page(NAV + body + FOOT)) == f"T\nFirst.\n{said}\nLast."
+    soup = f'<div class="box"><h1>T</h1><p>{said}</p><div id="{name}"><p>{said}</p></div></div>'
+    assert text_of(page(NAV + soup + FOOT)) == f"T\n{said}\n{said}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="related-posts"><a href="/1">One story</a> <a href="/2">Another story</a></div>', '<div class="share-buttons">Share this</div>',
+        '<div class="newsletter signup-box"><p>Get our letter. It comes each week, and tells of all that is new. You will like it.</p></div>',
+        '<div class="cookie-policy-note"><p>We and others store cookies. You may say no to that. It takes many clicks, and more of your time.</p></div>',
+        '<ul class="tags"><li>one<li>two</ul>', '<div class="legal">All rights reserved</div>', '<div class="user-comments"><p>I disagree. At length. With many words, and more of them.</p></div>',
+        '<div class="sidebar-left"><p>What others read. It is told here at length. And more.</p></div>', '<div id="siteFooter">Imprint</div>', '<p hidden>no</p>',
+        '<div class="breadcrumbs"><a href="/">Home</a></div>', '<section class="related-work"><a href="/1">One story</a> <a href="/2">Another story</a></section>',
+    ],
+)
+def test_parts_that_are_no_article_go(part):
+    body = f"<article><h1>T</h1><p>First.</p>{part}<p>Last.</p></article>"
+    assert text_of(page(NAV + body + FOOT)) == "T\nFirst.\nLast."
+
+
+def test_votes_equal_brute_force(spark):
+    """Votes of each host by plain sums over its pages, ties to the smaller path, and whatever way the winners are sent."""
+    rows = []
+    for i in range(60):
+        host, kind = f"h{i % 4}.example", i % (2 + i % 4)
+        words = " ".join(f"word{j}" for j in range(20 + i))
+        rows.append((i, f"http://{host}/{i}", page(f'<div class="k{kind}x"><p>{words}.</p></div><section id="s"><p>{words[:90]}.</p></section>')))
+    rows += [(100 + i, "http://tie.example/", page(f"<{t}><p>As much text as there is in the other.</p></{t}>")) for i, t in enumerate(["section", "td"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for _, u, html in rows:
+        of = want.setdefault(u.split("/")[2], {})
+        for p, s in h.votes(html):
+            of[p] = of.get(p, 0) + int(s * 1_000_000 + 0.5)
+    best = {host: min(of, key=lambda p: (-of[p], p)) for host, of in want.items()}
+    got = {r["host"]: (r["winner"], r["pages"]) for r in h.winning_paths(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == best and got["h0.example"][1] == 15
+    sent, shuffled = (sorted(map(tuple, h.main_text(df, small=x).collect())) for x in (True, False))
+    assert sent == shuffled == sorted((i, u, t, len(t), f) for i, u, x in rows for t, f in [h.extract(x, best[u.split("/")[2]])])
+
+
+def test_a_page_of_another_template_keeps_its_article():
+    story = "<p>" + "A story of some length. " * 20 + "</p>"
+    assert h.extract(page(f'<div class="k"><p>By me.</p></div><section>{story}</section>'), "body/div.k") == (("A story of some length. " * 20).strip(), False)
+
+
 def test_deep_and_long_pages_are_linear():
     assert text_of(page("<div>" * 20000 + "deep" + "</div>" * 20000)) == "deep"
     assert text_of(page("<article>" + "<p>word" * 20000 + "</article>")).count("\n") == 19999
