@@ -16,13 +16,14 @@ def _words(text: Column) -> Column:
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
+    """A hash of n words and of their number."""
+    return F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
 
 
 def _shingles(words: Column, n: int) -> Column:
-    """(length, hash) of each shingle of n words; none for fewer words."""
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.lit(n).alias("__n"), _shingle(words, i, n).alias("h")))
-    return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<struct<__n:int,h:bigint>>"))
+    """The hash of each shingle of n words; none for fewer words."""
+    every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: _shingle(words, i, n))
+    return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def holders(texts: DataFrame, items: DataFrame, text: str, item: str) -> DataFrame:
@@ -46,7 +47,7 @@ def holders(texts: DataFrame, items: DataFrame, text: str, item: str) -> DataFra
         key = F.lit(None).cast("long")
         for n in lengths:  # the middle of the item
             key = F.when(F.col("__n") == n, _shingle(F.col("__words"), F.floor((F.size("__words") - n) / 2).cast("int"), n)).otherwise(key)
-        keys = keyed.where("__n > 0").select(*items.columns, F.struct("__n", key.alias("h")).alias("__key"))
+        keys = keyed.where("__n > 0").select(*items.columns, key.alias("__key"))
         words = texts.withColumn("__words", _words(F.col(text)))
         found = [_shingles(F.col("__words"), n) for n in lengths]
         # texts stay out of the exploded rows: a text is met again by its place in the files

@@ -41,6 +41,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores is dealt out, before work that is heavy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -231,7 +237,7 @@ def q10_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = items.count()
     placed = items.withColumn("place", (F.row_number().over(W.orderBy("item_id")) - 1).cast("long"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("cand"), F.pmod("doc_id", F.lit(n)).alias("place"))
-    pairs = docs.join(F.broadcast(placed) if n <= MOST_SENT else placed, "place")
+    pairs = spread(docs).join(F.broadcast(placed) if n <= MOST_SENT else placed, "place")
     return pairs.select("doc_id", "item_id", F.round(scoring.edit_similarity(F.col("truth"), F.col("cand")), 6).alias("similarity"))
 
 
@@ -256,7 +262,7 @@ def bleu_sql(pairs: str, keys: str) -> str:
 def q11_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cand"))
-    pairs = holding.holders(docs, truth, "cand", "truth")
+    pairs = spread(holding.holders(docs, truth, "cand", "truth"))
     out = scoring.bleu(pairs, ["doc_id", "item_id"], "truth", "cand")
     return out.select("doc_id", "item_id", F.round("bleu", 6).alias("bleu"))
 
@@ -282,7 +288,7 @@ def q12_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.replace(F.col("truth"), F.lit("th"), F.concat(F.lit("d"), F.col("run").cast("string")))
     kind = (F.col("turn") + F.col("run")) % 3
     pairs = runs.withColumn("cand", F.when(kind == 0, F.col("truth")).when(kind == 1, cut_off).otherwise(other))
-    scored = scoring.accuracy(pairs, ["conv_id", "turn", "role", "run"], "truth", "cand")
+    scored = scoring.accuracy(spread(pairs), ["conv_id", "turn", "role", "run"], "truth", "cand")
     per_run = scored.groupBy(F.col("role").alias("parser"), "run").agg(F.avg("accuracy").alias("accuracy"))
     out = scoring.by_parser(per_run)
     scores = F.array_join(F.transform("accuracy_scores", lambda x: F.printf(F.lit("%.2f"), x)), ", ")
