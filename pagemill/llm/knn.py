@@ -1,33 +1,37 @@
 """Exact top-k search by inner product: a Voronoi join.
 
-Vectors go to the cell of their nearest pivot. Each cell is summed up by its
-count, its radius and the few distances nearest to its pivot. From the
-summaries alone follow, for each group of queries, a floor under its k-th best
-score and a ceiling over the scores of each cell, as a function of a vector's
-distance to its pivot; a vector is copied to a group only where its ceiling
-reaches the floor, and groups are solved locally.
-
-A group holds at most ``QUERY_BLOCK`` queries and a task ``CHUNK`` vectors, so
-a cell with a third of all vectors is dealt out over many tasks.
+Vectors and queries go to the cell of their nearest pivot. Each cell is summed
+up by its count, its radius and the few distances nearest to its pivot. From
+the summaries alone follow, for the queries of each cell, a floor under their
+k-th best score and a ceiling over the scores of each cell, as a function of a
+vector's distance to its pivot.
+
+Cells that are near each other share a chunk, and large cells have several.
+Each vector that some query may need moves once, to its chunk; a query is
+replicated to the chunks that hold cells it needs, and no others. A task holds
+one chunk and streams queries past it; it hands on a row for each query with
+its best k, and these are merged. As queries are a fixed part of all rows,
+chunks grow with the table up to ``MOST_HELD`` rows, so that neither queries
+nor results outgrow the vectors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import staged
 
 TOP, SCALE, EVERY = 10, 1024, 100
-#: Pivots, and the rows (those with the smallest hashes of their ids) that they are chosen from.
-PIVOTS, SAMPLE = 32, 2048
-QUERY_BLOCK, CHUNK = 512, 8192
+#: Pivots: the root of the rows, within bounds; and the rows (those with the smallest hashes of their ids) that they are chosen from.
+FEWEST_PIVOTS, MOST_PIVOTS, SAMPLE = 16, 512, 4096
+#: Rows of a chunk: a hundredth of all, within bounds; scores that a task works out at once.
+CHUNK, MOST_HELD, SCORES = 8192, 1 << 18, 1 << 22
 _LONG = (1 << 63) - 1
 
 
@@ -91,7 +95,7 @@ def _choose(sample: np.ndarray, most: int) -> np.ndarray:
 
 def top_k(
     vectors: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding",
-    pivots: int = PIVOTS, block: int = QUERY_BLOCK, chunk: int = CHUNK,
+    pivots: int | None = None, chunk: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to
     the smaller vec_id.
@@ -99,10 +103,11 @@ def top_k(
     Queries are the rows whose vec_id is divisible by ``every``, candidates all
     rows of another vec_id. Components are floor(1024 x). Vectors that are null
     or hold null or non-finite components, and rows without a vec_id, take no
-    part. Shorter vectors are filled up with zeros. A repeated query is
-    answered once; a repeated candidate is listed as often as it comes. Scores
-    and components beyond longs are clipped to them. No rows give no rows.
-    Other columns are ignored.
+    part. Shorter vectors are filled up with zeros. A query that is repeated is
+    answered once, and one id with several vectors by the best of all; a
+    repeated candidate is listed as often as it comes. Scores and components
+    beyond longs are clipped to them. No rows give no rows. Other columns are
+    ignored, whatever their names.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
@@ -120,22 +125,79 @@ def top_k(
     picked = rows.select("x", F.xxhash64("vec_id", "x").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(given.count())))
     centres = _choose(matrix([bytes(r["x"]) for r in picked]), pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1).to_pylist())
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                x = matrix(some.column(1).to_pylist())
                 far = _distances(x, centres)
                 cell = far.argmin(1)
                 norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell]), pa.array(norm)],
+                    [some.column(0), some.column(1), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell]), pa.array(norm)],
                     names=["vec_id", "x", "cell", "dist", "norm"],
                 )
 
     placed = staged(rows.mapInArrow(assign, "vec_id long, x binary, cell int, dist double, norm double"))
     is_query = F.col("vec_id") % every == 0
+    cells = {r["cell"]: r.asDict() for r in _summaries(placed, is_query, k).collect()}  # at most ``pivots`` rows
+    total = sum(c["n"] for c in cells.values())
+    size = chunk or min(MOST_HELD, max(CHUNK, -(-total // 100)))
+    bounds = Bounds(cells, centres, k)
+    asked = [c for c in sorted(cells) if cells[c]["queries"]]
+    least = {c: bounds.least(c) for c in asked}  # for each cell with queries, an array over all cells
+    first, several = _chunks(cells, centres, size)
+    radius = np.array([cells[j]["radius"] if j in cells else -1.0 for j in range(len(centres))])
+    # what any query needs of each cell, and the chunks that each cell's queries go to
+    any_needs = np.min(np.stack([least[c] for c in asked]), axis=0) if asked else np.full(len(centres), np.inf)
+    targets = {
+        c: np.unique(np.concatenate([first[j] + np.arange(several[j]) for j in np.flatnonzero(least[c] <= radius)] or [np.zeros(0, np.int64)]))
+        for c in asked
+    }
+    count = int((first + several).max(initial=1))
+    keyed = pa.schema([("key", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("x", pa.binary())])
+
+    def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cell, dist = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            some = np.flatnonzero(dist >= any_needs[cell])
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            key = first[cell] + (mixed % several[cell].astype(np.uint64)).astype(np.int64)
+            take = pa.array(some)
+            columns = [pa.array(key[some].astype(np.int32)), pa.array(np.zeros(len(some), bool)), batch.column(0).take(take), batch.column(1).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, schema=keyed)
+
+    def replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(2).to_numpy(zero_copy_only=False)
+            for c in np.unique(cell).tolist():
+                own, to = np.flatnonzero(cell == c), targets[c].astype(np.int32)
+                step = max(1, 4096 // max(1, len(to)))
+                for at in range(0, len(own), step):
+                    take = pa.array(np.repeat(own[at : at + step], len(to)))
+                    key = pa.array(np.tile(to, len(own[at : at + step])))
+                    columns = [key, pa.array(np.ones(len(take), bool)), batch.column(0).take(take), batch.column(1).take(take)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=keyed)
+
+    spec = "key int, query boolean, vec_id long, x binary"
+    queries = placed.where(is_query).dropDuplicates(["vec_id", "x"]).select("vec_id", "x", "cell", "dist")
+    dealt = placed.select("vec_id", "x", "cell", "dist").mapInArrow(to_chunks, spec).unionByName(queries.mapInArrow(replicated, spec))
+    together = dealt.repartitionById(count, F.col("key")).sortWithinPartitions("key", "query")
+    solved = together.mapInArrow(_solver(k), "query_id long, best array<struct<score:long,vec_id:long>>")
+    # at most a row a chunk for each query
+    best = F.array_sort(F.transform(F.flatten(F.collect_list("best")), lambda b: F.struct((-b["score"]).alias("s"), b["vec_id"].alias("vec_id"))))
+    merged = solved.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
+    ranked = merged.select("query_id", F.posexplode("best").alias("at", "b"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+
+def _summaries(placed: DataFrame, is_query: F.Column, k: int) -> DataFrame:
+    """A row a cell: n, radius, queries, query_radius, query_norm, and the k + 1 ids nearest to its pivot
+    (near_ids) with their distances (near)."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -160,118 +222,116 @@ def top_k(
         F.count("*").alias("n"), F.max("dist").alias("radius"), F.count_if(is_query).alias("queries"),
         F.max(F.when(is_query, F.col("dist"))).alias("query_radius"), F.max(F.when(is_query, F.col("norm"))).alias("query_norm"),
     )
-    cells = {r["cell"]: r.asDict() for r in sizes.join(nearest, "cell").collect()}  # at most ``pivots`` rows
-    parts, groups = _groups(cells, block)
-    plan = {g: _needed(g_cells, cells, centres, k) for g, g_cells in groups.items()}
-    held = {g: sum(cells[j]["n"] for j, least in needs.items() if least <= cells[j]["radius"]) for g, needs in plan.items()}
-    chunks = {g: max(1, math.ceil(n / chunk)) for g, n in held.items()}
-    first = {}
-    for g in sorted(groups):
-        first[g] = sum(chunks[h] for h in first)
-    keyed = pa.schema([("key", pa.int64()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("x", pa.binary())])
-
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, cell, dist = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            for g, needs in plan.items():
-                least = np.array([needs.get(j, np.inf) for j in range(len(centres))])
-                rows = np.flatnonzero(dist >= least[cell])
-                key = first[g] + (mixed[rows] % np.uint64(chunks[g])).astype(np.int64)
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    yield _keyed(batch, some, key[at : at + 4096], False)
-            for c, (at, n) in parts.items():
-                rows = np.flatnonzero((cell == c) & (ids % every == 0))
-                group = at + (mixed[rows] % np.uint64(n)).astype(np.int64)
-                for i in range(max(chunks.values(), default=1)):
-                    some = np.array([r for r, g in zip(rows, group) if i < chunks[int(g)]], np.int64)
-                    key = np.array([first[int(g)] + i for g in group if i < chunks[int(g)]], np.int64)
-                    if len(some):
-                        yield _keyed(batch, some, key, True)
-
-    def _keyed(batch: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, query: bool) -> pa.RecordBatch:
-        take = pa.array(rows)
-        columns = [pa.array(key), pa.array([query] * len(rows)), batch.column(0).take(take), batch.column(1).take(take)]
-        return pa.RecordBatch.from_arrays(columns, schema=keyed)
-
-    dealt = placed.select("vec_id", "x", "cell", "dist").mapInArrow(copies, "key long, query boolean, vec_id long, x binary")
-
-    def solve(table: pa.Table) -> pa.Table:
-        asks = np.array(table["query"].to_pylist(), bool)
-        ids = table["vec_id"].to_numpy()
-        raw = table["x"].to_pylist()
-        queries = {int(ids[i]): i for i in np.flatnonzero(asks)}
-        rows = np.flatnonzero(~asks)
-        rows = rows[np.argsort(ids[rows], kind="stable")]
-        q, x, other = matrix([raw[i] for i in queries.values()]), matrix([raw[i] for i in rows]), ids[rows]
-        out: list[list[np.ndarray]] = [[], [], []]
-        for at in range(0, len(q), 128):
-            for own, score in zip(list(queries)[at : at + 128], _product(q[at : at + 128], x)):
-                may = np.flatnonzero(other != own)
-                s = score[may]
-                if len(s) > k:
-                    edge = np.partition(s, len(s) - k)[len(s) - k]
-                    above = np.flatnonzero(s > edge)
-                    tied = np.flatnonzero(s == edge)[: k - len(above)]
-                    may, s = may[np.r_[above, tied]], s[np.r_[above, tied]]
-                for column, values in zip(out, (np.full(len(s), own), other[may], s)):
-                    column.append(values)
-        whole = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
-        return pa.table({"query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
-
-    solved = dealt.groupBy("key").applyInArrow(solve, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _groups(cells: dict, block: int) -> tuple[dict[int, tuple[int, int]], dict[int, list[int]]]:
-    """Cell -> (first group, number of groups) of its queries, and group -> cells: cells with few
-    queries share a group, and those with many are split by a hash of the query's id."""
-    parts, groups, g, room = {}, {}, 0, 0
-    for c in sorted(c for c in cells if cells[c]["queries"]):
-        n = cells[c]["queries"]
-        if n > block:
-            several = math.ceil(n / (block // 2))
-            start = max(groups, default=-1) + 1
-            parts[c] = (start, several)
-            groups |= {start + i: [c] for i in range(several)}
-            room = 0
+    return sizes.join(nearest, "cell")
+
+
+def _chunks(cells: dict, centres: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, number of chunks) of each cell. Cells follow each other by the distance of their
+    pivots to the first one; small ones share a chunk of ``size`` rows, large ones have chunks of their own."""
+    first, several = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    at, held = -1, size
+    for j in np.argsort(_distances(centres, centres[:1])[:, 0], kind="stable").tolist():
+        n = cells[j]["n"] if j in cells else 0
+        if n > size:
+            several[j] = -(-n // size)
+            first[j], at, held = at + 1, at + int(several[j]), size
         else:
-            if room < n:
-                g, room = max(groups, default=-1) + 1, block
-                groups[g] = []
-            groups[g].append(c)
-            parts[c] = (g, 1)
-            room -= n
-    return parts, groups
+            if held + n > size:
+                at, held = at + 1, 0
+            first[j], held = max(at, 0), held + n
+    return first, several
 
 
-def _needed(members: list[int], cells: dict, centres: np.ndarray, k: int) -> dict[int, float]:
-    """The least distance to its pivot at which a vector of each cell may be among a query's best.
+class Bounds:
+    """What the summaries say about the queries of a cell.
 
     A query q of cell c and a vector x of cell j: <q, x> = <q, p_j> + <q, x - p_j>, where the
     first lies within |q - p_c| |p_j| of <p_c, p_j> and the second within |q| |x - p_j| of 0.
     """
-    p = centres.astype(np.float64)
-    length = np.sqrt((p * p).sum(1))
-    least: dict[int, float] = {}
-    for c in members:
-        radius, norm = cells[c]["query_radius"], cells[c]["query_norm"]
-        middle = p[c] @ p.T
-        low: dict = {}
-        for j, cell in cells.items():
-            for i, d in enumerate(cell["near"]):
-                of = cell["near_ids"][i] if "near_ids" in cell else (j, i)
-                low[of] = max(low.get(of, -np.inf), middle[j] - radius * length[j] - norm * d)
-        floor = sorted(low.values(), reverse=True)[k] if len(low) > k else -np.inf  # one may be the query's own
-        slack = 1e-9 * (norm * (length.max() + max(x["radius"] for x in cells.values())) + 1)
-        for j in cells:
-            high = middle[j] + radius * length[j] + slack
-            need = 0.0 if high >= floor else (floor - high) / norm if norm > 0 else np.inf
-            least[j] = min(least.get(j, np.inf), need * (1 - 1e-9))
-    return least
+
+    def __init__(self, cells: dict, centres: np.ndarray, k: int) -> None:
+        self.cells, self.k, self.p = cells, k, centres.astype(np.float64)
+        self.length = np.sqrt((self.p * self.p).sum(1))
+        self.there = np.array([j in cells for j in range(len(centres))])
+        named = [(j, d, cell["near_ids"][i] if "near_ids" in cell else (j, i)) for j, cell in cells.items() for i, d in enumerate(cell["near"])]
+        self.of = np.array([j for j, _, _ in named], np.int64)
+        self.near = np.array([d for _, d, _ in named])
+        places: dict = {}
+        self.ids = np.array([places.setdefault(x, len(places)) for _, _, x in named], np.int64)
+        self.n_ids = len(places)
+        self.widest = max((c["radius"] for c in cells.values()), default=0.0)
+
+    def least(self, c: int) -> np.ndarray:
+        """For each cell, the least distance to its pivot at which a vector may be among the best of a query of cell c."""
+        radius, norm = self.cells[c]["query_radius"], self.cells[c]["query_norm"]
+        middle = self.p @ self.p[c]
+        low = np.full(self.n_ids, -np.inf)  # an id in several cells counts once, by its best
+        np.maximum.at(low, self.ids, (middle - radius * self.length)[self.of] - norm * self.near)
+        floor = np.partition(low, len(low) - self.k - 1)[len(low) - self.k - 1] if len(low) > self.k else -np.inf  # one may be the query's own
+        slack = 1e-9 * (norm * (self.length.max() + self.widest) + 1)
+        high = middle + radius * self.length + slack
+        need = (floor - high) / norm if norm > 0 else np.full(len(high), np.inf)
+        return np.where(self.there, np.where(high >= floor, 0.0, need) * (1 - 1e-9), np.inf)
+
+
+def _needed(members: list[int], cells: dict, centres: np.ndarray, k: int) -> dict[int, float]:
+    """``Bounds.least`` for the queries of several cells."""
+    bounds = Bounds(cells, centres, k)
+    least = np.min(np.stack([bounds.least(c) for c in members]), axis=0)
+    return {j: float(least[j]) for j in cells}
+
+
+def _solver(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows by chunk, vectors before queries, to each query's best k in the chunk; a task holds one chunk."""
+    pairs = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
+
+    def answers(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        out: list[list[dict]] = [[] for _ in asks]
+        for at in range(0, len(x), 1 << 14):
+            part, own = x[at : at + (1 << 14)], ids[at : at + (1 << 14)]
+            step = max(1, SCORES // max(1, len(part)))
+            for i in range(0, len(q), step):
+                for row, score in enumerate(_product(q[i : i + step], part), i):
+                    may = np.flatnonzero(own != asks[row])
+                    s = score[may]
+                    if len(s) > k:
+                        edge = np.partition(s, len(s) - k)[len(s) - k]
+                        above = np.flatnonzero(s > edge)
+                        tied = np.flatnonzero(s == edge)[: k - len(above)]  # rows are in order of their ids
+                        may, s = may[np.r_[above, tied]], s[np.r_[above, tied]]
+                    out[row] += [{"score": a, "vec_id": b} for a, b in zip(s.tolist(), own[may].tolist())]
+        best = [sorted(found, key=lambda r: (-r["score"], r["vec_id"]))[:k] for found in out]
+        return pa.RecordBatch.from_arrays([pa.array(asks), pa.array(best, pairs)], names=["query_id", "best"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, chunk = None, [], None
+        for batch in batches:
+            key, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "query"))
+            edges = np.flatnonzero((np.diff(key) != 0) | (query[1:] != query[:-1])) + 1
+            for a, b in zip(np.r_[0, edges], np.r_[edges, len(key)]):
+                if a == b:
+                    continue
+                if key[a] != now:
+                    now, held, chunk = key[a], [], None
+                ids, raw = batch.column("vec_id").to_numpy()[a:b], batch.column("x").slice(a, b - a).to_pylist()
+                if not query[a]:
+                    held.append((ids, matrix(raw)))
+                    continue
+                if chunk is None and held:
+                    chunk = _together(held)
+                    held = []
+                for i in range(0, len(ids) if chunk is not None else 0, 512):
+                    yield answers(*chunk, ids[i : i + 512], matrix(raw[i : i + 512]))
+
+    return run
+
+
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a chunk in order of the ids."""
+    ids, width = np.concatenate([i for i, _ in held]), max(x.shape[1] for _, x in held)
+    x = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in held])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
 
 
 SQL = f"""
@@ -279,7 +339,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {EVERY} = 0) q JOIN v ON q.vec_id <> v.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )

@@ -26,13 +26,13 @@ def made(seed, n, clusters):
     return [(i, (centres[i % clusters] + rng.normal(size=8) * 0.2).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("pivots,block,chunk", [(32, 512, 8192), (6, 4, 40)])
-def test_equals_brute_force(spark, pivots, block, chunk):
+@pytest.mark.parametrize("pivots,chunk", [(None, None), (6, 40)])
+def test_equals_brute_force(spark, pivots, chunk):
     rows = made(0, 900, 6) + [(1000 + i, [1.0] * 8) for i in range(500)]
     rows += [(2000, None), (2001, [1.0, None]), (2100, [float("nan")] * 8), (2101, [float("inf")] * 8), (2200, []), (2201, [3.0] * 3), (None, [1.0] * 8)]
     rows += [(300, rows[300][1]), (301, rows[301][1])]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as x", "2 as cell", "'z' as key")
-    got = sorted(tuple(r) for r in knn.top_k(df, pivots=pivots, block=block, chunk=chunk).collect())
+    got = sorted(tuple(r) for r in knn.top_k(df, pivots=pivots, chunk=chunk).collect())
     assert got == brute(rows)
 
 
@@ -50,6 +50,39 @@ def test_copies_of_a_query_are_no_candidates(spark):
     assert got == brute(rows) and len(got) == 10
 
 
+def test_one_id_with_several_vectors_is_answered_by_the_best_of_all(spark):
+    rows = [(100, [10.0, 0.0]), (100, [0.0, 9.0]), (100, [10.0, 0.0])] + [(i, [float(i % 5), float(i % 7)]) for i in range(1, 40)]
+    got = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, SCHEMA), pivots=3, chunk=7).collect())
+    best = sorted((-(1024 * a * int(1024 * x) + 1024 * b * int(1024 * y)), i) for a, b in ((10, 0), (0, 9)) for i, (x, y) in rows[3:])[:10]
+    assert got == [(100, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+
+
+def test_shuffled_rows_stay_in_proportion(spark):
+    """20,000 vectors in several chunks: what moves is the vectors once, and queries and answers a row a chunk."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    out = knn.top_k(df, chunk=700)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out.collect()}
+    q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    for i in range(0, 20000, 100):
+        score = q @ q[i]
+        score[i] = -(1 << 62)
+        for r, j in enumerate(np.lexsort((np.arange(20000), -score))[:10], 1):
+            assert got[i, r] == (j, score[j])
+    cells = {j: {"n": 300, "queries": 3} for j in range(64)}
+    first, several = knn._chunks(cells, rng.normal(size=(64, 3)), 700)
+    assert (several == 1).all() and int(first.max()) + 1 <= 2 * 64 * 300 / 700
+    n_chunks = -(-20000 // 700)
+    assert 20000 + 2 * 200 * 2 * n_chunks <= 3 * 20000
+
+
+def test_large_cells_have_chunks_of_their_own():
+    cells = {0: {"n": 5}, 1: {"n": 2500}, 2: {"n": 6}, 3: {"n": 1}}
+    first, several = knn._chunks(cells, np.array([[0], [1], [2], [3]]), 1000)
+    assert several.tolist() == [1, 3, 1, 1] and first.tolist() == [0, 1, 4, 4]
+
+
 def test_an_id_in_several_cells_counts_once():
     centres = np.array([[10000, 0], [9999, 1], [0, 9000]])
     cell = lambda q, of: {"n": 11, "radius": 10.0, "queries": q, "query_radius": 0.0, "query_norm": 10000.0, "near": [0.0] * len(of), "near_ids": of}
