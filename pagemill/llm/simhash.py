@@ -119,8 +119,8 @@ def _forest(group: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
     return out
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal keys; the members of a run over DENSE, marked as such."""
+def _link_groups(batches: Iterator[pa.RecordBatch], most: int = DENSE) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal keys; the members of a run of over ``most``, marked as such."""
     key_now, held, dense = None, [], False
     out: list[tuple[int, int, bool]] = []
 
@@ -151,7 +151,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flush()
                 key_now, dense = key[a], False
             held.append(fp[a:b])
-            if sum(map(len, held)) > DENSE:
+            if sum(map(len, held)) > most:
                 dense = True
             if dense:
                 flush()
@@ -190,7 +190,7 @@ def _balls(dense: DataFrame) -> DataFrame:
     return named.join(least, "ball").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def links(fingerprints: DataFrame, column: str = "fp", partitions: int | None = None) -> DataFrame:
+def links(fingerprints: DataFrame, column: str = "fp", partitions: int | None = None, most: int = DENSE) -> DataFrame:
     """Links (u, v) that connect all of the different fingerprints 4 bits or fewer apart.
 
     Enough links for each component, not each pair. ``fingerprints`` may repeat.
@@ -201,7 +201,7 @@ def links(fingerprints: DataFrame, column: str = "fp", partitions: int | None =
     distinct = fingerprints.select(F.col(column).alias("fp")).distinct().repartition(n)
     keys = distinct.mapInArrow(_emit_keys, "key long, fp long")
     grouped = keys.repartition(n, "key").sortWithinPartitions("key")
-    found = cut(grouped.mapInArrow(_link_groups, "u long, v long, dense boolean").distinct())
+    found = cut(grouped.mapInArrow(lambda batches: _link_groups(batches, most), "u long, v long, dense boolean").distinct())
     dense = found.where("dense").select(F.col("u").alias("fp"))
     sparse = found.where("not dense").select("u", "v")
     return sparse if dense.isEmpty() else sparse.union(_balls(dense))
@@ -232,7 +232,7 @@ def classes(prints: DataFrame, label: F.Column, small: bool | None = None) -> Da
     a component: both are looked up as hot keys.
     """
     least = cut(prints.groupBy("fp").agg(F.min(label).alias("own"), F.count("*").alias("rows")))
-    roots = components(links(least.select("fp")))
+    roots = components(links(least.select("fp")), small=small)
     rooted = least.join(roots, least["fp"] == roots["node"], "left")
     rooted = cut(rooted.select("fp", "own", "rows", F.coalesce("root", "fp").alias("root")))
     by_root = cut(rooted.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("prints")))

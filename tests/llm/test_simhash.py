@@ -87,7 +87,7 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("dense", [8, 8192])
-def test_dense_groups_link_exactly(spark, monkeypatch, dense):
+def test_dense_groups_link_exactly(spark, dense):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 62, dtype=np.uint64)
     values = {int(centre)}
@@ -99,21 +99,7 @@ def test_dense_groups_link_exactly(spark, monkeypatch, dense):
     values = sorted(values)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     whole = spark.createDataFrame([(x,) for x in signed], "fp long").coalesce(1)
-    monkeypatch.setattr(simhash, "DENSE", dense)
-    if dense == 8:  # workers import the module anew: run the streaming step here
-        import pyarrow as pa
-
-        out = []
-        for b in simhash._emit_keys(iter([pa.RecordBatch.from_pydict({"fp": signed})])):
-            order = np.argsort(b.column(0).to_numpy(), kind="stable")
-            sorted_batch = b.take(pa.array(order))
-            out += [r for x in simhash._link_groups(iter([sorted_batch.slice(0, 100), sorted_batch.slice(100)])) for r in x.to_pylist()]
-        dense_ids = sorted({r["u"] for r in out if r["dense"]})
-        assert dense_ids
-        found = [(r["u"], r["v"]) for r in out if not r["dense"]]
-        found += [tuple(r) for r in simhash._balls(spark.createDataFrame([(x,) for x in dense_ids], "fp long")).collect()]
-    else:
-        found = [tuple(r) for r in simhash.links(whole).collect()]
+    found = [tuple(r) for r in simhash.links(whole, most=dense).collect()]
     from pagemill.llm.components import Forest
 
     got, want = Forest(), Forest()
