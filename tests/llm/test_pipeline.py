@@ -58,6 +58,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sum(r["length"] for r in whole.collect()) == total
 
 
+def test_repeated_rows_nulls_and_other_columns(spark, tmp_path):
+    rows = corpus()[:12]
+    rows += [rows[3], rows[3], (None, rows[5][1].replace("a", "z"), None), (None, None, None), (7, None, "s1")]
+    df = docs(spark, rows).selectExpr("*", "'x' as row", "1 as n_words", "2 as taken")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        kept.append(sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in now.collect()))
+    assert kept[0].count(rows[3][0]) == 3 and kept[0].count(-1) == 1 and kept[1] == kept[0]
+    assert kept[2].count(rows[3][0]) == 1 and kept[2].count(-1) == 1 and set(kept[3]) <= set(kept[2]) and set(kept[4]) == set(kept[3])
+
+
 def test_empty(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
