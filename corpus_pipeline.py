@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor
 left, and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents.
+
+Nulls are allowed in any column. A null text counts as empty, so the quality
+rules reject it; a null source is a source like any other; a null doc_id comes
+last where the smallest stays. Texts of any length are worked on whole.
+Repeated rows are judged alike by the quality rules, count each in line dedup,
+and are near-duplicates of each other, of which one stays. Columns beyond
+those of documents are dropped by the first stage. An empty table gives an
+empty table in each stage.
 """
 
 from __future__ import annotations
@@ -25,27 +33,29 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail a rule are removed, and rejected documents go."""
+    """Lines that fail a rule are removed, and rejected documents go: null, empty and short ones among them."""
     return _documents(quality_rules.accepted(docs).drop("text").withColumnRenamed("clean_text", "text"))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least ten documents are dropped from all; every document stays."""
+    """Lines of at least ten documents are dropped from all; every document stays, with an empty text if it loses all lines."""
     return _documents(line_dedup.drop_frequent_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: that with the smallest doc_id, and of rows that repeat it the
+    first. Documents that have lost all lines are a group."""
     return _documents(simhash.one_of_each(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them, up to three times or not at all; rows with the same doc_id and
+    source alike. Those without words, which add none, go."""
     return _documents(mixing.resampled(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens; a document that comes again is packed again."""
     return packing.pack(docs)
 
 
