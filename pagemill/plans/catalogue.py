@@ -8,16 +8,20 @@ text in a fence; figure metrics come from numbers of ``lineitem``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.config import local_server_env, workers_for
+from pagemill.config import Options, local_server_env, workers_for
+from pagemill.errors import ModelCallError
 from pagemill.functions import scoring
 from pagemill.functions.text import strip_blanks, strip_fences, strip_page_label
 from pagemill.operators import backends, collect, figures, holding, prompts, registry, routing
+from pagemill.schema import REGION
+from pagemill.sources import sinks
 from pagemill.sources.pdf import LARGEST_UPLOAD, is_pdf
 
 #: Ground-truth items that are sent to every task at most.
@@ -572,3 +576,134 @@ def q30_server_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settings of a local model server by device, workers and concurrency."""
     rows = [(d, w, c, n, v) for d in ("cuda", "mps", "cpu") for w in (2, 4, 8) for c in (False, True) for n, v in local_server_env(d, w, c).items()]
     return spark.createDataFrame(rows, "device string, workers long, concurrent boolean, name string, value string")
+
+
+@query(
+    """WITH p(provider, served) AS (VALUES ('openai', 'gpt-4o'), ('azure', 'mine')), s(structured) AS (VALUES (false), (true)), i(with_image) AS (VALUES (false), (true))
+SELECT provider, structured, with_image, served, CASE WHEN structured THEN 0.0 ELSE 0.7 END::DOUBLE AS temperature, CASE WHEN structured THEN 0.4 ELSE 0.9 END::DOUBLE AS top_p,
+  CASE WHEN structured THEN 'json_schema' END AS reply_format, CASE WHEN structured THEN NULL ELSE 9 END::BIGINT AS max_tokens, (1 + with_image::INTEGER)::BIGINT AS n_parts,
+  CASE WHEN with_image THEN 'data:image/png;base64,' || base64(encode('png')) END AS image FROM p, s, i"""
+)
+def q31_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of a provider: settings of free and structured calls, the deployment for the model, the image as data."""
+    rows = []
+    for name, config in (("openai", {}), ("azure", {"AZURE_ENDPOINT_URL": "e", "AZURE_OPENAI_API_KEY": "k", "AZURE_DEPLOYMENT_NAME": "mine"})):
+        backend = backends.OpenAI("gpt-4o", config=config | {"AZURE_ENDPOINT_URL": config.get("AZURE_ENDPOINT_URL", "")}, top_p=0.9, extra={"max_tokens": 9})
+        for structured in (False, True):
+            for png in (None, b"png"):
+                asked = backend.request(png, "prompt", structured)
+                parts = asked["messages"][0]["content"]
+                image = parts[1]["image_url"]["url"] if len(parts) > 1 else None
+                rows.append((name, structured, png is not None, asked["model"], asked["temperature"], asked["top_p"], asked.get("response_format", {}).get("type"), asked.get("max_tokens"), len(parts), image))
+    schema = "provider string, structured boolean, with_image boolean, served string, temperature double, top_p double, reply_format string, max_tokens long, n_parts long, image string"
+    return spark.createDataFrame(rows, schema)
+
+
+_FLAGS = "(VALUES (false), (true))"
+
+
+@query(
+    f"""SELECT detailed, former, mode, CASE WHEN detailed AND former OR mode NOT IN ('none', 'url', 'base64') THEN 'refused' WHEN former THEN 'deprecated' ELSE 'accepted' END AS verdict
+FROM {_FLAGS} AS a(detailed), {_FLAGS} AS b(former), (VALUES ('none'), ('url'), ('base64'), ('jpeg')) AS c(mode)"""
+)
+def q32_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that are accepted, accepted by a former name, or refused."""
+    rows = []
+    for detailed in (False, True):
+        for former in (False, True):
+            for mode in ("none", "url", "base64", "jpeg"):
+                with warnings.catch_warnings(record=True) as told:
+                    warnings.simplefilter("always")
+                    try:
+                        made = Options(detailed_extraction=detailed, extraction_complexity=former, image_mode=None if mode == "none" else mode)
+                        assert made.detailed_extraction == (detailed or former)
+                        verdict = "deprecated" if told else "accepted"
+                    except ValueError:
+                        verdict = "refused"
+                rows.append((detailed, former, mode, verdict))
+    return spark.createDataFrame(rows, "detailed boolean, former boolean, mode string, verdict string")
+
+
+@query(f"SELECT with_key, endpoint, CASE WHEN with_key AND endpoint THEN 'azure' WHEN with_key OR endpoint THEN 'refused' ELSE 'openai' END AS served_by FROM {_FLAGS} AS a(with_key), {_FLAGS} AS b(endpoint)")
+def q33_azure_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Azure needs its endpoint and its key; one alone is an error."""
+    rows = []
+    for key in (False, True):
+        for endpoint in (False, True):
+            config = {"AZURE_OPENAI_API_KEY": "k" if key else "", "AZURE_ENDPOINT_URL": "e" if endpoint else ""}
+            backend = backends.OpenAI("gpt-4o", config=config)
+            try:
+                backend.check()
+                served = "azure" if backend.azure else "openai"
+            except ModelCallError:
+                served = "refused"
+            rows.append((key, endpoint, served))
+    return spark.createDataFrame(rows, "with_key boolean, endpoint boolean, served_by string")
+
+
+@query(
+    "SELECT 'model' || i AS model, 'ollama' AS provider FROM range(0, 40) AS m(i) WHERE i % 7 <> 6 AND (i % 3 = 0 OR i % 5 = 0)"
+)
+def q34_discovered_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models of a stand-in server that take images, by what each says; every seventh can't be asked."""
+
+    def show(name: str) -> dict:
+        n = int(name.removeprefix("model"))
+        if n % 7 == 6:
+            raise OSError("no answer")
+        return {"capabilities": ["vision"] if n % 3 == 0 else None, "details": {"families": ["clip"] if n % 5 == 0 else []}}
+
+    found = registry.discovery(spark, lambda: [f"model{i}" for i in range(40)], show)()
+    return spark.createDataFrame(sorted(found.items()), "model string, provider string")
+
+
+@query(
+    """SELECT item_id, 1::BIGINT AS n_figures, (110 + 2 * (item_id * 7 % 50))::BIGINT AS png_w, (120 + item_id * 7 % 50)::BIGINT AS png_h, 'image_' || (item_id % 5 + 1) || '_1.png' AS name,
+  'doc_' || item_id || '.pdf-' || substr(md5('/in/doc ' || item_id || '.pdf'), 1, 8) AS folder FROM benchmark"""
+)
+def q35_figure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of drawn pages as files: crops of the right size, under names that never meet; where they are written is a stand-in."""
+    drawn = spread(read(spark, sf_dir, "benchmark")).selectExpr("item_id", "item_id % 40 as place", "item_id * 7 % 50 as size")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for key, place, size in zip(batch["item_id"], batch["place"], batch["size"]):
+                page = np.full((420, 360, 3), 255, np.uint8)
+                h, w, y, x = 120 + int(size), 110 + 2 * int(size), 20 + int(place), 30 + int(place)
+                page[y : y + h, x : x + w] = (np.linspace(40, 180, w)[None, :, None] + np.linspace(0, 30, h)[:, None, None]).astype(np.uint8)
+                yield pd.DataFrame({"item_id": [key], "regions": [figures.regions(page)]})
+
+    region = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in REGION.fields)
+    pages = drawn.mapInPandas(run, f"item_id long, regions array<struct<{region}>>").select(
+        "item_id", F.concat(F.lit("/in/doc "), F.col("item_id").cast("string"), F.lit(".pdf")).alias("doc_id"),
+        (F.col("item_id") % 5).cast("int").alias("page_number"), figures.ranked_pngs(F.col("regions")).alias("pngs"),
+    )
+    size = lambda at: F.conv(F.hex(F.substring(F.element_at("pngs", 1), at, 4)), 16, 10).cast("long")
+    sized = pages.select("*", F.size("pngs").cast("long").alias("n_figures"), size(17).alias("png_w"), size(21).alias("png_h"))
+    out = sinks.with_figure_files(sized, "pngs", "stand-in", write=_nowhere)
+    parts = F.split(F.col("figures")[0]["image_url"], "/")
+    return out.select("item_id", "n_figures", "png_w", "png_h", parts[1].alias("name"), parts[0].alias("folder"))
+
+
+def _nowhere(name: str, content: bytes) -> None:
+    """The file system of a test."""
+
+
+@query(
+    """WITH r AS (SELECT row_number() OVER (ORDER BY role) AS i, role, min(turn) AS place FROM conversations GROUP BY role), n AS (SELECT count(*) AS k FROM r)
+SELECT (4 + i)::BIGINT AS line, '| ' || i || ' | ' || role || ' | 0.50 |' AS said FROM r
+UNION ALL SELECT (4 + k + (i - 1) * 7 + 2)::BIGINT, '## Runs of ' || role FROM r, n
+UNION ALL SELECT (4 + k + (i - 1) * 7 + 6)::BIGINT, '| 1 | 0.25 |' FROM r, n
+UNION ALL SELECT (4 + k + (i - 1) * 7 + 7)::BIGINT, '| 2 | 0.75 |' FROM r, n"""
+)
+def q36_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report that hold results: the parsers' means, then the runs of each, two decimals."""
+    parsers = read(spark, sf_dir, "conversations").select(F.col("role").alias("parser")).distinct()
+    runs = parsers.withColumn("r", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(x).alias("accuracy")) for i, x in ((2, 0.75), (1, 0.25))])))
+    rows = scoring.by_parser(runs.select("parser", "r.*")).orderBy("parser").collect()
+    lines = enumerate(scoring.report(rows, "today").split("\n"), 1)
+    held = [(i, x) for i, x in lines if x.startswith("## ") or x[:3] == "| 1" or x[:3] == "| 2" or (x.startswith("| ") and x[2:3].isdigit())]
+    return spark.createDataFrame(held, "line long, said string")
