@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import BLANKS
+from pagemill.llm.common import BLANKS, free
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MOST_REPEATED = 50, 3, 50
+#: Windows that repeat in a text: up to so many are looked for one by one.
+FEW = 16
 #: Separators that make a line a menu, and bullets that lead list lines of links.
 MENU_FROM, SYMBOL_SHARE, SHOUT_FROM, PROSE_FROM = 3, 0.1, 20, 5
 #: A text is hard-wrapped if the ends of a quarter of its lines lie within BAND columns.
@@ -40,7 +42,9 @@ def words_of(text: Column) -> Column:
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    """How many of some characters a text has; they are only counted where there are any."""
+    there = text.rlike(f"[{characters}]")
+    return F.when(there, F.char_length(text) - F.char_length(F.translate(text, characters, ""))).otherwise(0)
 
 
 def _ended(bare: Column) -> Column:
@@ -49,12 +53,17 @@ def _ended(bare: Column) -> Column:
     return last | bare.rlike(rf"[.!?…。{OTHER_ENDS}][\"'”’»)\]]?\s")
 
 
-def _line_fails(line: Column, paragraph: Column | None = None) -> Column:
-    """Whether a line is to go. Blank lines stay; they hold no text.
+def _stay(lines: Column, paragraph: Column | None = None) -> Column:
+    """The lines that no rule removes. Each is bared once, as a lambda works out anew whatever it names twice."""
+    bares = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    return F.filter(F.zip_with(lines, bares, lambda x, bare: F.when(~_fails(bare, paragraph), x)), lambda x: x.isNotNull())
+
+
+def _fails(bare: Column, paragraph: Column | None = None) -> Column:
+    """Whether a line, without white space at its ends, is to go. Blank lines stay; they hold no text.
 
     A line of a hard-wrapped paragraph has an end if the paragraph has one.
     """
-    bare = F.btrim(line, F.lit(BLANKS))
     n = F.char_length(bare)
     menu = _count_of(bare, "|»•›·") >= MENU_FROM
     symbols = _count_of(bare, SYMBOLS) > SYMBOL_SHARE * n
@@ -72,7 +81,7 @@ def _width(full: str) -> Column:
     That is the longest length with a quarter of the lines, and one more, at
     most BAND below it: paragraphs of a line each have lengths of all kinds.
     """
-    lengths = F.reverse(F.array_sort(F.transform(full, lambda x: F.char_length(F.rtrim(x, F.lit(BLANKS))))))
+    lengths = F.sort_array(F.transform(full, lambda x: F.char_length(F.rtrim(x, F.lit(BLANKS)))), asc=False)
     peer = F.greatest(F.lit(1), F.floor(BAND_SHARE * F.size(full)).cast("int"))
     wide = F.filter(F.arrays_zip(lengths.alias("n"), F.slice(lengths, peer + 1, F.size(full)).alias("m")), lambda x: x["n"] - x["m"] <= BAND)
     return F.get(wide, F.lit(0))["n"]
@@ -104,62 +113,69 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     of paragraphs without one), code, boilerplate phrases. base_failed: fewer than 50 words, or more than half of them in
     three-word windows that occur twice. kept: neither base_failed nor more
     than MOST_LOST of the characters (line feeds apart) lost. Null and empty
-    texts have no words, fail and aren't kept. Repeated rows are judged alike;
-    no rows give no rows; columns of the names above are replaced.
+    texts have no words, fail and aren't kept; texts of any length are judged
+    whole, inside their row. Repeated rows are judged alike; no rows give no
+    rows; columns of the names above are replaced, others handed on whatever
+    their names.
     """
     made = ["clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     made += ["base_failed", "n_lines_removed", "lost_share", "kept"]
-    given = [c for c in docs.columns if c not in made]
+    given = [c for c in docs.columns if c.lower() not in made]
+    # helper columns have names that no given column has
+    words, lines, full, hashed, width, stay, windows, twice, again, ordered, places, chars = (
+        free(x, *given, *made) for x in "words lines full hashed width stay windows twice again ordered places chars".split()
+    )
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(*given).withColumns({"__words": words_of(F.col(text)), "__lines": F.split(whole, "\n", -1)})
+    df = docs.select(*given).withColumns({words: words_of(F.col(text)), lines: F.split(whole, "\n", -1)})
     df = df.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
             "n_symbols": _count_of(whole, SYMBOLS).cast("long"),
-            "__full": F.filter("__lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
-            "__hash": F.transform("__words", lambda w: F.xxhash64(w)),
+            full: F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
+            hashed: F.transform(words, lambda w: F.xxhash64(w)),
         }
-    ).drop("__words")
-    df = df.withColumn("__width", _width("__full"))
-    of_wrapped = F.flatten(
-        F.transform(_paragraphs("__lines", "__width"), lambda p: F.filter(F.split(p, "\n", -1), lambda x: ~_line_fails(x, p)))
-    )
-    alone = F.filter("__lines", lambda x: ~_line_fails(x))
-    df = df.withColumn("__stay", F.when(F.col("__width").isNull(), alone).otherwise(of_wrapped)).drop("__width")
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
-        lambda i: F.xxhash64(*[F.get("__hash", i + k) for k in range(WINDOW)]),
-    )
+    ).drop(words)
+    df = df.withColumn(width, _width(full))
+    of_wrapped = F.flatten(F.transform(_paragraphs(lines, width), lambda p: _stay(F.split(p, "\n", -1), p)))
+    alone = _stay(F.col(lines))
+    df = df.withColumn(stay, F.when(F.col(width).isNull(), alone).otherwise(of_wrapped)).drop(width)
+    n = F.col("n_words").cast("int") - (WINDOW - 1)
+    each = F.slice(hashed, 1, n)
+    for k in range(1, WINDOW):
+        each = F.zip_with(each, F.slice(hashed, k + 1, n), lambda a, b: F.xxhash64(a, b))
     df = df.withColumns(
         {
-            "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
-            "__windows": F.when(F.col("n_words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")),
-            "clean_text": F.array_join("__stay", "\n"),
-            "n_lines_removed": (F.size("__lines") - F.size("__stay")).cast("long"),
-            "__chars": F.char_length(whole) - F.size("__lines") + 1,
+            "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
+            windows: F.when(n > 0, each).otherwise(F.array().cast("array<bigint>")),
+            "clean_text": F.array_join(stay, "\n"),
+            "n_lines_removed": (F.size(lines) - F.size(stay)).cast("long"),
+            chars: F.char_length(whole) - F.size(lines) + 1,
         }
-    ).drop("__hash", "__full", "__lines")
-    twice = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("__sorted", F.when(twice, placed)).drop("__windows")
-    again = F.filter(
-        "__sorted",
-        lambda x, k: (F.get("__sorted", k - 1)["h"] == x["h"]) | (F.get("__sorted", k + 1)["h"] == x["h"]),
-    )
-    df = df.withColumn("__places", F.array_sort(F.transform(again, lambda x: x["i"]))).drop("__sorted")
+    ).drop(hashed, full, lines)
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    df = df.withColumn(twice, F.when(repeats, F.sort_array(windows)))
+    df = df.withColumn(twice, F.array_distinct(F.filter(twice, lambda x, i: F.get(twice, i - 1) == x)))
+    # a few windows that repeat are looked for; of many, all windows are sorted with their places
+    several = F.size(twice) > FEW
+    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(ordered, F.when(several, placed))
+    of_many = F.filter(ordered, lambda x, k: (F.get(ordered, k - 1)["h"] == x["h"]) | (F.get(ordered, k + 1)["h"] == x["h"]))
+    of_few = F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i))
+    df = df.withColumn(again, F.when(several, F.transform(of_many, lambda x: x["i"])).when(F.size(twice) > 0, of_few)).drop(ordered, windows, twice)
+    df = df.withColumn(places, F.sort_array(F.filter(again, lambda i: i.isNotNull()))).drop(again)
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(
-        "__places",
+        places,
         start,
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__places")
+    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(places)
     few = F.col("n_words") < MIN_WORDS
     repeated = 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    left = F.char_length("clean_text") - F.greatest(F.size("__stay") - 1, F.lit(0))
-    lost = F.when(F.col("__chars") > 0, 1 - left / F.col("__chars")).otherwise(F.lit(0.0))
+    left = F.char_length("clean_text") - F.greatest(F.size(stay) - 1, F.lit(0))
+    lost = F.when(F.col(chars) > 0, 1 - left / F.col(chars)).otherwise(F.lit(0.0))
     df = df.withColumns({"base_failed": few | repeated, "lost_share": lost})
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= MOST_LOST))
     return df.select(*given, *made)
@@ -172,8 +188,9 @@ def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
     that work the verdict out: pushed below them it would put their whole
     expressions into itself, and into their own lambdas, for each element anew.
     """
-    numbered = judged(docs, text).withColumn("__at", F.monotonically_increasing_id())
-    return numbered.where(F.col("kept") & (F.col("__at") >= 0)).drop("__at")
+    at = free("at", *docs.columns, "clean_text", "n_words", "word_chars", "n_symbols", "kept")
+    numbered = judged(docs, text).withColumn(at, F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col(at) >= 0)).drop(at)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -46,6 +46,25 @@ def test_base_equals_brute_force(spark):
     assert not any(r[6] and r[7] for r in got)
 
 
+def test_texts_with_few_and_many_repeats(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(60):
+        words = [f"v{x}" for x in rng.integers(0, (3, 12, 60, 4000)[i % 4], int(rng.integers(1, 400)))]
+        rows.append((i, " ".join(words), "a"))
+    got = [tuple(r)[:7] for r in quality_rules.verdicts(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted((i, *brute(t)) for i, t, _ in rows)
+
+
+def test_clashing_helpers_are_handed_on(spark):
+    names = ["words", "lines", "Full", "width", "stay", "windows", "twice", "at", "chars"]
+    df = docs(spark, fixture()).selectExpr("*", *(f"'{n}!' as {n}" for n in names))
+    for out in (quality_rules.judged(df), quality_rules.accepted(df)):
+        assert all(r[n] == f"{n}!" for r in out.collect() for n in names)
+
+
 def test_cleaned_text_and_columns(spark):
     out = quality_rules.judged(docs(spark, fixture()))
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
