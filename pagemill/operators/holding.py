@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.sources.staging import spread
+
 #: Words of a shingle, and items without inner words that are compared with all texts at a time.
 WORDS, BLOCK = 5, 1000
 #: Items that are sent to every task at most, with so many bytes.
@@ -48,10 +50,9 @@ def holders(texts: DataFrame, items: DataFrame, text: str, item: str) -> DataFra
         for n in lengths:  # the middle of the item
             key = F.when(F.col("__n") == n, _shingle(F.col("__words"), F.floor((F.size("__words") - n) / 2).cast("int"), n)).otherwise(key)
         keys = keyed.where("__n > 0").select(*items.columns, key.alias("__key"))
-        words = texts.withColumn("__words", _words(F.col(text)))
         found = [_shingles(F.col("__words"), n) for n in lengths]
         # texts stay out of the exploded rows: a text is met again by its place in the files
-        placed = words.withColumn("__row", F.monotonically_increasing_id())
+        placed = spread(texts.select(text).withColumn("__row", F.monotonically_increasing_id())).withColumn("__words", _words(F.col(text)))
         met = placed.select("__row", F.explode(F.array_distinct(F.concat(*found))).alias("__key")).join(sent(keys), "__key").drop("__key")
         again = texts.withColumn("__row", F.monotonically_increasing_id()).join(met, "__row").drop("__row")
         pairs = pairs.unionByName(again.where(F.contains(F.col(text), F.col(item))))

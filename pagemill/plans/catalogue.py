@@ -23,6 +23,7 @@ from pagemill.operators import backends, collect, figures, holding, prompts, reg
 from pagemill.schema import REGION
 from pagemill.sources import sinks
 from pagemill.sources.pdf import LARGEST_UPLOAD, is_pdf
+from pagemill.sources.staging import spread
 
 #: Ground-truth items that are sent to every task at most.
 MOST_SENT = 10_000
@@ -45,12 +46,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer partitions than there are cores is dealt out, before work that is heavy for each row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
