@@ -6,49 +6,36 @@ digits and single other marks, in lower case; a reference tokenizer with rules
 of its own gives other absolute values. If any order has no match the score is 0.
 
 Both are column expressions: a pair is scored inside its row, in one pass and
-without a shuffle. Matches of an order are counted by sorting the hashes (63
-bits) of both texts' n-grams together and folding over them once.
+without a shuffle. What is heavy, the edit distance and the count of n-grams in
+common, is worked out by ``pairs`` in Arrow batches.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import pairs as in_batches
+
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 ORDERS = 4
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance, in characters, over the longer length; 1 for two empty texts."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
-
-
-def _grams(side: Column, n: int, mark: int) -> Column:
-    """The hashes of the n-grams of an array of tokens, with the lowest bit as ``mark``; none for fewer tokens."""
-    places = F.sequence(F.lit(0), F.size(side) - n)
-    hashed = F.transform(places, lambda i: F.xxhash64(*[F.get(side, i + k) for k in range(n)]).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(mark)))
-    return F.when(F.size(side) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.arrow_udf(in_batches.distances, "int")(a, b) / longer)
 
 
-def _matches(truth: Column, candidate: Column, n: int) -> Column:
-    """How many n-grams of the candidate are in the truth, each at most as often as there."""
-    both = F.sort_array(F.concat(_grams(truth, n, 0), _grams(candidate, n, 1)))
-    start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("hit"))
+def _matches(truth: Column, candidate: Column) -> Column:
+    """How many tokens both texts have, and how many n-grams of each order of the candidate are in the truth."""
+    counts = ", ".join(f"{n}: int" for n in ("nt", "nc", *(f"hit{n}" for n in range(1, ORDERS + 1))))
 
-    def step(a: Column, x: Column) -> Column:
-        gram, of_candidate = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1)) == 1
-        left = F.when(a["g"] == gram, a["left"]).otherwise(F.lit(0))  # those of the truth come first
-        hits = of_candidate & (left > 0)
-        after = F.when(~of_candidate, left + 1).when(hits, left - 1).otherwise(left)
-        return F.struct(gram.alias("g"), after.alias("left"), (a["hit"] + hits.cast("int")).alias("hit"))
+    def matches(truth: pa.Array, candidate: pa.Array) -> pa.Array:
+        return in_batches.matches(truth, candidate, ORDERS)
 
-    return F.aggregate(both, start, step, lambda a: a["hit"])
+    return F.arrow_udf(matches, f"struct<{counts}>")(F.lower(truth), F.lower(candidate))
 
 
 def bleu(pairs: DataFrame, keys: list[str], truth: str, candidate: str) -> DataFrame:
@@ -58,19 +45,17 @@ def bleu(pairs: DataFrame, keys: list[str], truth: str, candidate: str) -> DataF
 
 def with_bleu(pairs: DataFrame, truth: str, candidate: str, into: str = "bleu") -> DataFrame:
     """``pairs`` with the score; nulls count as empty texts."""
-    t, c = (f"{into}_{x}_tokens" for x in ("truth", "candidate"))
-    tokenised = pairs.withColumns({t: tokens(F.coalesce(F.col(truth), F.lit(""))), c: tokens(F.coalesce(F.col(candidate), F.lit("")))})
-    hits = {f"{into}_{n}": _matches(F.col(t), F.col(c), n) for n in range(1, ORDERS + 1)}
-    counted = tokenised.withColumns(hits)
+    found = f"{into}_matches"
+    counted = pairs.withColumn(found, _matches(F.col(truth), F.col(candidate)))
+    m = F.col(found)
     logs, every = F.lit(0.0), F.lit(True)
     for n in range(1, ORDERS + 1):
-        hit = F.col(f"{into}_{n}")
+        hit = m[f"hit{n}"]
         every = every & (hit > 0)
-        logs = logs + F.log(F.when(hit > 0, hit / (F.size(c) - (n - 1))))
-    nt, nc = F.size(t), F.size(c)
-    brevity = F.when(nc > nt, 1.0).otherwise(F.exp(1 - nt / F.nullif(nc, F.lit(0))))
+        logs = logs + F.log(F.when(hit > 0, hit / (m["nc"] - (n - 1))))
+    brevity = F.when(m["nc"] > m["nt"], 1.0).otherwise(F.exp(1 - m["nt"] / F.nullif(m["nc"], F.lit(0))))
     score = F.when(every, brevity * F.exp(logs / ORDERS)).otherwise(F.lit(0.0))
-    return counted.withColumn(into, F.coalesce(score, F.lit(0.0))).drop(t, c, *hits)
+    return counted.withColumn(into, F.coalesce(score, F.lit(0.0))).drop(found)
 
 
 def accuracy(pairs: DataFrame, keys: list[str], truth: str, candidate: str) -> DataFrame:

@@ -281,13 +281,13 @@ SELECT parser, round(avg(accuracy), 6) AS avg_accuracy, count(*)::INTEGER AS num
 def q12_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of conversations as truth, a role as parser, and an edit that depends on page and run as its result."""
     pages = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("truth"))
-    runs = pages.withColumn("run", F.explode(F.array(*[F.lit(i) for i in range(1, _RUNS + 1)])))
+    runs = spread(pages).withColumn("run", F.explode(F.array(*[F.lit(i) for i in range(1, _RUNS + 1)])))
     n = F.char_length("truth")
     cut_off = F.substring(F.col("truth"), F.lit(1), F.floor(n * (9 - F.col("run")) / 10).cast("int"))
     other = F.replace(F.col("truth"), F.lit("th"), F.concat(F.lit("d"), F.col("run").cast("string")))
     kind = (F.col("turn") + F.col("run")) % 3
     pairs = runs.withColumn("cand", F.when(kind == 0, F.col("truth")).when(kind == 1, cut_off).otherwise(other))
-    scored = scoring.accuracy(spread(pairs), ["conv_id", "turn", "role", "run"], "truth", "cand")
+    scored = scoring.accuracy(pairs, ["conv_id", "turn", "role", "run"], "truth", "cand")
     per_run = scored.groupBy(F.col("role").alias("parser"), "run").agg(F.avg("accuracy").alias("accuracy"))
     out = scoring.by_parser(per_run)
     scores = F.array_join(F.transform("accuracy_scores", lambda x: F.printf(F.lit("%.2f"), x)), ", ")

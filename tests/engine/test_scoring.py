@@ -72,3 +72,43 @@ def test_holders_equal_brute_force(spark, tmp_path):
     got = holding.holders(spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "x")), "t", "x").collect()
     want = [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t]
     assert sorted((r["i"], r["j"]) for r in got) == want
+
+
+def odd_pairs(n=400):
+    import random
+
+    r = random.Random(7)
+    word = lambda k, letters: "".join(r.choice(letters) for _ in range(r.randint(0, k)))
+    for i in range(n):
+        letters = ("ab", "abc dé.", "ab1 .,ß😀\n\x0b\x85Ⅷ²", "abcdefgh ij")[i % 4]
+        a = word(60, letters)
+        b = (word(60, letters), a[: r.randint(0, 60)], a.replace("ab", "x1"), word(6, letters + "QZ"), "".join(r.choice((c, c, c, "", "Q", c + c)) for c in a))[i % 5]
+        yield (a, b) if r.random() < 0.5 else (b, a)
+
+
+def test_batches_of_pairs_equal_brute_force():
+    import pyarrow as pa
+
+    from pagemill.functions import pairs
+
+    t, c = zip(*odd_pairs(), *PAIRS, ("a b", None), (None, "a"), (None, None))
+    found = pairs.distances(pa.array(t), pa.array(c)).to_pylist()
+    assert found == [None if x is None or y is None else distance(x, y) for x, y in zip(t, c)]
+    for got, x, y in zip(pairs.matches(pa.array(t), pa.array(c), 4).to_pylist(), t, c):
+        x, y = (regex.findall(r"\p{L}+|\p{N}+|[^ \t-\r\p{L}\p{N}]", s or "") for s in (x, y))
+        assert (got["nt"], got["nc"]) == (len(x), len(y))
+        for n in range(1, 5):
+            a, b = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (x, y))
+            assert got[f"hit{n}"] == (a & b).total()
+    assert len(pairs.matches(pa.array([], pa.string()), pa.array([], pa.string()), 4)) == 0
+
+
+def test_large_pairs_are_scored_without_a_table(spark, monkeypatch):
+    """Of texts with 300,000 characters, edited as q12 does; a table would have 90 billion cells."""
+    from pagemill.functions import pairs
+
+    text = "the path of the other text, " * 11_000
+    monkeypatch.setattr(pairs, "_by_bits", None)
+    assert [pairs.distance(text, c) for c in (text, text[:200_000], text.replace("th", "d1"))] == [0, len(text) - 200_000, 2 * text.count("th")]
+    plan = scoring.accuracy(spark.createDataFrame([(1, "a", "b")], "i int, t string, c string"), ["i"], "t", "c")._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and "aggregate(" not in plan
