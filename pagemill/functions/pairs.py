@@ -2,7 +2,9 @@
 
 A distance is settled by bounds that meet where they do: a shared start and end
 count nothing; texts of one length whose differing characters have none in
-common differ by substitutions alone. All other pairs go through Myers' bit vectors (1999) as wide
+common differ by substitutions alone; a text whose characters occur in the
+other in their order, but for those it hasn't at all, costs the difference in
+length and those. All other pairs go through Myers' bit vectors (1999) as wide
 as the longer text, in steps over the shorter one.
 
 N-grams are hashed (57 bits), sorted pair by pair and counted in runs, a few
@@ -59,21 +61,38 @@ def distance(a: str, b: str) -> int:
         differ = differ[: len(y)]
         if not set(x[differ].tolist()) & set(y[differ].tolist()):
             return int(differ.sum())
-    return _by_bits(x, b[start : start + len(y)])
+    a, b = a[start : start + len(x)], b[start : start + len(y)]
+    lacking = _lacking_in_order(a, b) if more else None
+    return _by_bits(x, b) if lacking is None else more + lacking
+
+
+def _lacking_in_order(a: str, b: str) -> int | None:
+    """How many characters of ``b`` aren't in ``a``, if the others come there in their order, with room for these between."""
+    place, lacking, absent = 0, 0, {c for c in set(b) if c not in a}
+    for c in b:
+        if c in absent:
+            lacking += 1
+        else:
+            place = a.find(c, place)
+            if place < 0:
+                return None
+        place += 1
+    return lacking if place <= len(a) else None
 
 
 def _by_bits(x: np.ndarray, b: str) -> int:
-    n = len(x)
-    every = (1 << n) - 1
-    where = {c: int.from_bytes(np.packbits(x == ord(c), bitorder="little").tobytes(), "little") for c in set(b)}
+    every = (1 << len(x)) - 1
+    narrow = x.astype(np.uint8) if x.max() < 256 else x
+    here = set(b) if narrow is x else {c for c in set(b) if ord(c) < 256}
+    where = {c: int.from_bytes(np.packbits(narrow == ord(c), bitorder="little").tobytes(), "little") for c in here}
     up, down = every, 0  # where a column of the table grows, and where it falls
     for c in b:
-        same = where[c]
-        across = ((((same & up) + up) ^ up) | same) & every
-        grows = ((down | (every ^ (across | up))) << 1 | 1) & every
-        falls = ((up & across) << 1) & every
+        same = where.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        grows = (down | (every ^ (across | up))) << 1 | 1
+        falls = (up & across) << 1
         same |= down
-        up = falls | (every ^ (same | grows))
+        up = (falls | (every ^ (same | grows))) & every  # bits beyond the text never reach those inside
         down = grows & same
     return len(b) + up.bit_count() - down.bit_count()
 

@@ -112,3 +112,13 @@ def test_large_pairs_are_scored_without_a_table(spark, monkeypatch):
     assert [pairs.distance(text, c) for c in (text, text[:200_000], text.replace("th", "d1"))] == [0, len(text) - 200_000, 2 * text.count("th")]
     plan = scoring.accuracy(spark.createDataFrame([(1, "a", "b")], "i int, t string, c string"), ["i"], "t", "c")._jdf.queryExecution().executedPlan().toString()
     assert "levenshtein" not in plan and "aggregate(" not in plan
+
+
+def test_items_found_in_order_need_no_table(monkeypatch):
+    from pagemill.functions import pairs
+
+    texts = [("the quick brown fox jumps over it " * 9000, "A fox, über the fox; over 12 quick jumps!"), ("xaby", "aQb"), ("ab" * 9, "ba" * 8 + "QQ"), ("ab" * 9, "Q" * 17), ("abcab", "cQQ"), ("abcabab", "cbaaQ")]
+    wanted = [distance(a, b) if len(a) < 99 else len(a) - len(b) + sum(c not in a for c in b) for a, b in texts]
+    assert [pairs.distance(a, b) for a, b in texts] == [pairs.distance(b, a) for a, b in texts] == wanted
+    monkeypatch.setattr(pairs, "_by_bits", None)
+    assert [pairs.distance(*texts[i]) for i in (0, 3)] == [wanted[i] for i in (0, 3)]
