@@ -23,7 +23,7 @@ from pagemill.operators import backends, collect, figures, holding, prompts, reg
 from pagemill.schema import REGION
 from pagemill.sources import sinks
 from pagemill.sources.pdf import LARGEST_UPLOAD, is_pdf
-from pagemill.sources.staging import spread
+from pagemill.sources.staging import spread, written
 
 #: Ground-truth items that are sent to every task at most.
 MOST_SENT = 10_000
@@ -482,7 +482,8 @@ def q23_failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     routed_pages = routing.with_routes(pages, "ollama", "url").select("doc_id", "route", "error", "analysis")
-    out = routing.converted(routed_pages, lambda rows: rows.withColumn("answer", F.lit("```\nanswer\n```")))
+    once = written(routed_pages, keep=False)  # as Converter does; else each branch's filter parses the reply for each field
+    out = routing.converted(once, lambda rows: rows.withColumn("answer", F.lit("```\nanswer\n```")))
     return out.select("doc_id", "route", routing.model_calls(F.col("route")).alias("n_calls"), "markdown", "error")
 
 

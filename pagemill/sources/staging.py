@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,9 +26,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written as Parquet and read again: its stages run once."""
+def written(df: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of ``df``, written as Parquet and read again: its stages run once. Unless ``keep``, the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    if not keep:
+        atexit.register(_drop, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone already
+        pass

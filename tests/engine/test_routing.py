@@ -91,3 +91,11 @@ def test_pages_are_collected_in_order(spark):
     assert got["pages"] == ["", "p1", "p2", "p3", "p10", "p11"] and got["markdown"] == "\n\np1\n\np2\n\np3\n\np10\n\np11"
     batches = [r[0] for r in spark.range(10).select(collect.batch_of(F.col("id"), 4)).collect()]
     assert batches == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_failed_pages_parse_each_reply_once(spark):
+    """The branches of q23 read what was routed once; their filters used to parse the reply two dozen times each."""
+    from pagemill.plans import catalogue
+
+    plan = catalogue.QUERIES["q23_failed_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "regexp_replace(to_json" not in plan
